@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docaudit.llm import decontam, rules, urls
+from docaudit.llm import bpe, decontam, rules, simhash, substring, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_simhash": simhash.op3_simhash,
+        "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": rules.op5_quality_rules,
+        "op7_substring_dedup": substring.op7_substring_dedup,
         "op8_decontamination": decontam.op8_decontamination,
         "op10_url_filter": urls.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": rules.SQL, "op8_decontamination": decontam.SQL, "op10_url_filter": urls.SQL}
+    return {"op5_quality_rules": rules.SQL, "op7_substring_dedup": substring.SQL, "op8_decontamination": decontam.SQL, "op10_url_filter": urls.SQL}
