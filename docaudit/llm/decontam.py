@@ -91,6 +91,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW,
     return out.select("doc_id", "text_key", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without a hit, with their columns."""
+    found = materialise(contamination(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -52,14 +52,14 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp bigint (the fingerprint's bits) for each row."""
+    """doc_id, text_key (a hash of the text), fp bigint (the fingerprint's bits) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), size, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(x.as_py(), size, seed) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, fp bigint")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -216,7 +216,7 @@ def _edge_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp bigint, component_id for each row of docs."""
+    """doc_id, text_key, fp bigint, group (a fingerprint), component_id for each row of docs."""
     marked = materialise(fingerprints(docs, size=size, seed=seed), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     n = distinct.count()
@@ -224,8 +224,20 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, r
     rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     groups = rooted.groupBy(F.col("root").alias("g_root")).agg(F.min("least").alias("component_id"))
-    named = rooted.join(groups, rooted["root"] == groups["g_root"]).select(F.col("fp").alias("n_fp"), "component_id")
-    return marked.join(named, marked["fp"] == named["n_fp"]).select("doc_id", "fp", "component_id")
+    named = rooted.join(groups, rooted["root"] == groups["g_root"]).select(F.col("fp").alias("n_fp"), F.col("root").alias("group"), "component_id")
+    return marked.join(named, marked["fp"] == named["n_fp"]).select("doc_id", "text_key", "fp", "group", "component_id")
+
+
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each group the one with the least doc_id (null last, then by a
+    hash of the text); rows repeated with that doc_id and text stay once."""
+    found = materialise(near_duplicates(docs.select("doc_id", "text"), **options), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    kept = found.groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key"))
+    key = F.xxhash64("text")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
+    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    return out.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key") if repeated else out
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

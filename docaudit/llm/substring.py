@@ -360,6 +360,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -
     return full.select(*[F.col(f"`{c}`") for c in kept], "text", "__spans").mapInArrow(_cut(window, len(kept)), plain)
 
 
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """docs without the repeated spans of their texts; n_chars counts the text that is left. Every row stays."""
+    names = docs.columns
+    found = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") if c not in ("doc_id", "text") else F.col(c) for i, c in enumerate(names)]))
+    new = {"text": F.col("kept_text"), "doc_id": F.col("doc_id"), "n_chars": F.length("kept_text").cast("bigint")}
+    return found.select(*[new.get(c, F.col(f"__c{i}")).alias(c) for i, c in enumerate(names)])
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(split_words(F.col("kept_text")), " "), 256).alias("kept_sha256"))
