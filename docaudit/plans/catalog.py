@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from docaudit.plans import evaluation  # noqa: F401
+from docaudit.plans.registry import QUERIES, SQL, Query
+
 FLAGSHIP = "eval_field_breakdown"
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
