@@ -37,6 +37,7 @@ TRAINING_PAGES = 900
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 INVISIBLE = frozenset("script style noscript template head title svg iframe object canvas".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup tt u var wbr br acronym time data".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -111,7 +112,8 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    flush()
+                    if tag not in INVISIBLE:
+                        flush()
                     close(i)
                     break
             continue
@@ -120,12 +122,13 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 pieces.append(" ")
             continue
-        flush()
-        links = 0
         if tag in ("script", "style"):  # their content is no markup
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else length
             continue
+        if tag not in INVISIBLE:
+            flush()
+            links = 0
         if tag in _ENDS_P and stack and stack[-1][0] == "p":
             close(len(stack) - 1)
         if tag in IMPLIED:
