@@ -350,7 +350,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -
     low = F.lit((1 << _PLACE) - 1)
     listed = again.groupBy("d", F.shiftright("place", _PLACE).alias("t")).agg(F.array_distinct(F.collect_list(F.col("place").bitwiseAND(low))).alias("places"))
     whole = docs.select(*[F.col(f"`{c}`") for c in rest], d, tag)
-    met = whole.join(listed, (whole["__d"] == listed["d"]) & (whole["__tag"] == listed["t"])).select("__d", "__tag", "text", "places")
+    met = whole.join(listed, (whole["__d"] == listed["d"]) & (whole["__tag"] == listed["t"]))
+    # every column comes along, so that both joins shuffle the same table and Spark shuffles it once
+    met = met.select("__d", "__tag", "text", "places", *[F.col(f"`{c}`") for c in rest if c != "text"])
     labels = met.mapInArrow(_label_rows(window, gram), "route bigint, d bigint, tag bigint, start bigint, n bigint, labels binary")
     ranges = labels.repartition("route").sortWithinPartitions("route").mapInArrow(_repeats, "d bigint, tag bigint, start bigint, n bigint")
     spans = ranges.groupBy(F.col("d").alias("s_d"), F.col("tag").alias("s_tag")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
