@@ -66,6 +66,18 @@ def split_by_rank(rows: DataFrame, key: Column, ratios: Sequence[tuple[str, floa
     return ranked.withColumn("split", F.coalesce(split, F.lit(ratios[-1][0]))).drop("__key", "__bucket", "__n", "__before", "__nth")
 
 
+def with_ordinal(rows: DataFrame, order: str) -> DataFrame:
+    """rows with ordinal, from 0, in the order of an integer column: sizes of key ranges first, then ranks within a range."""
+    span = rows.agg(F.min(order).alias("low"), ((F.max(order) - F.min(order)) / 1024 + 1).cast("bigint").alias("width")).first()
+    low, width = span["low"] or 0, span["width"] or 1
+    ranged = rows.withColumn("__r", F.floor((F.col(order) - low) / width))
+    sizes = ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(F.col("__r").alias("__b"), F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    met = ranged.join(before, F.col("__r") == F.col("__b"))
+    nth = F.row_number().over(Window.partitionBy("__r").orderBy(order)).cast("bigint")
+    return met.withColumn("ordinal", F.col("__before") + nth - 1).drop("__r", "__b", "__before")
+
+
 def first_wins(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key; a pre-aggregated minimum, not a window over hot keys."""
     rest = [c for c in rows.columns if c not in key]

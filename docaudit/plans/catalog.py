@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docaudit.plans import datasets, evaluation, profiling  # noqa: F401
+from docaudit.plans import datasets, evaluation, extras, profiling  # noqa: F401
 from docaudit.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "eval_field_breakdown"
