@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,14 +96,19 @@ def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.orphans(*_files(spark, sf_dir))
 
 
-_SHUFFLED = F.pmod(F.col("doc_id") * 2654435761, F.lit(4294967296))
+def _shuffled() -> Column:
+    """A fixed pseudo-random order: multiplicative hash of the id, the same in any engine."""
+    return F.pmod(F.col("doc_id") * 2654435761, F.lit(4294967296))
+
+
+
 SPLIT_SQL = """r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) AS nth, count(*) OVER () AS total FROM documents),
 s AS (SELECT doc_id, n_chars, CASE WHEN nth <= floor(total * 0.8) THEN 'train' WHEN nth <= floor(total * 0.8) + floor(total * 0.1) THEN 'val' ELSE 'test' END AS split FROM r)"""
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return D.split_by_rank(docs, _SHUFFLED, (("train", 0.8), ("val", 0.1), ("test", 0.1)), docs.count())
+    return D.split_by_rank(docs, _shuffled(), (("train", 0.8), ("val", 0.1), ("test", 0.1)), docs.count())
 
 
 @query("dataset_split", f"WITH {SPLIT_SQL} SELECT doc_id, split FROM s")
@@ -119,7 +124,7 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("preview_subset", "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY (doc_id * 2654435761) % 4294967296, doc_id LIMIT 20)")
 def preview_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed preview of 20 documents, in their order (the limit is the feature)."""
-    return table(spark, sf_dir, "documents").select("doc_id", _SHUFFLED.alias("key")).orderBy("key", "doc_id").limit(20).select("doc_id").orderBy("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", _shuffled().alias("key")).orderBy("key", "doc_id").limit(20).select("doc_id").orderBy("doc_id")
 
 
 @query("sequence_length_stats", """WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS nth, count(*) OVER (PARTITION BY lang) AS n FROM documents)
