@@ -32,11 +32,16 @@ def _is_empty(kind: Column, value: Column) -> Column:
 
 def with_outcomes(leaves: DataFrame, *, case: bool = True) -> DataFrame:
     """Counters of each leaf pair, and the kind of difference."""
-    t, p = (X.canonical(F.col(f"{s}_type"), F.col(f"{s}_value"), case=case) for s in "tp")
-    out = leaves.withColumns({"t_c": t, "p_c": p, "t_empty": _is_empty(F.col("t_type"), F.col("t_value")), "p_empty": _is_empty(F.col("p_type"), F.col("p_value"))})
-    there = F.col("t_type").isNotNull()
-    equal = F.col("t_c") == F.col("p_c")
+    out = leaves.withColumns({
+        "t_empty": _is_empty(F.col("t_type"), F.col("t_value")), "p_empty": _is_empty(F.col("p_type"), F.col("p_value")),
+        "same": F.col("t_type").eqNullSafe(F.col("p_type")) & F.col("t_value").eqNullSafe(F.col("p_value")),
+    })
     both = ~F.col("t_empty") & ~F.col("p_empty")
+    # most leaves are the same as they stand; only the others are brought to canonical form
+    t, p = (F.when(both & ~F.col("same"), X.canonical(F.col(f"{s}_type"), F.col(f"{s}_value"), case=case)) for s in "tp")
+    out = out.withColumns({"t_c": t, "p_c": p})
+    there = F.col("t_type").isNotNull()
+    equal = F.col("same") | F.coalesce(F.col("t_c") == F.col("p_c"), F.lit(False))
     one = lambda c: c.cast("long")
     filled = there & ~F.col("t_empty")
     similar = F.when(both, F.when(equal, F.lit(1.0)).otherwise(X.edit_similarity(F.col("t_c.text"), F.col("p_c.text")))).otherwise(F.lit(0.0))
