@@ -6,7 +6,8 @@ rule rejects a document whose measure exceeds a cutoff. Cutoffs come from the la
 rejects more than alpha of the good documents" with the exact binomial tail, and stops at the first step it cannot
 refute. The fixed order keeps the error of a ladder at its level; the level is delta divided by the number of ladders
 (strata times rules), and alpha is divided among the rules. So with probability 1 - delta no stratum loses more than
-alpha of its good documents. A stratum with too few labels gets no cutoff and loses nothing to the rules.
+alpha of its good documents. Of the certified cutoffs of a ladder the most useful one is taken (bad documents caught, less
+COST for each good one rejected), or none. A stratum with too few labels gets no cutoff and loses nothing to the rules.
 
 Only DataFrame functions run. Defined results: null or empty text: no words, all counts 0, base_failed true. Null lang:
 a stratum of its own. Labels that are null, or of unknown documents, are left out; a document labelled more than once
@@ -28,6 +29,8 @@ MIN_WORDS = 50
 #: Per stratum: the share of good documents that all rules together may reject, and the chance of exceeding it.
 ALPHA, DELTA = 0.02, 0.05
 LADDER = (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01)
+#: Bad documents that one rejected good document weighs when a cutoff is chosen among the certified ones.
+COST = 10
 #: Rule: its value, from the counts of one document.
 RULES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
@@ -101,25 +104,30 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, ladder: Sequence[float] = LADDER) -> DataFrame:
-    """For each stratum and rule the strictest certified cutoff: stratum, rule, cutoff, good, rejected, p_value."""
+    """For each stratum and rule its cutoff: stratum, rule, cutoff, good, rejected, caught (bad ones), p_value. Of the certified
+    cutoffs the one that catches most bad documents, a rejected good one weighing COST of them (ties: the loosest); none that
+    gains nothing."""
     share = alpha / len(RULES)
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("l_id"))
-    held = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("l_id"))
-    held = held.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *[F.expr(v).alias(r) for r, v in RULES.items()])
+    known = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("l_id"), (F.col("quality") == 1).alias("fine"))
+    held = measured.where(~base_failed()).join(known, F.col("doc_id") == F.col("l_id"))
+    held = held.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "fine", *[F.expr(v).alias(r) for r, v in RULES.items()])
     counted = held.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("good"),
+        F.count_if("fine").alias("good"),
         F.array(*[
-            F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.count_if(F.col(r) > c).alias("rejected"))
+            F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.count_if(F.col("fine") & (F.col(r) > c)).alias("rejected"), F.count_if(~F.col("fine") & (F.col(r) > c)).alias("caught"))
             for r in RULES for c in ladder
         ]).alias("tests"),
     )
-    tested = counted.select("stratum", "good", F.count(F.lit(1)).over(Window.partitionBy()).alias("strata"), F.inline("tests"))
+    counted = counted.where("good > 0")
+    counted = counted.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # before the tests multiply the rows
+    tested = counted.select("stratum", "good", "strata", F.inline("tests"))
     k, n = F.col("rejected"), F.col("good")
     tested = tested.withColumn("p_value", F.when(k >= n * share, F.lit(1.0)).otherwise(binomial_tail(k, n, share)))
     walk = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc())
     passed = tested.withColumn("ok", F.min((F.col("p_value") <= delta / (F.col("strata") * len(RULES))).cast("int")).over(walk)).where("ok = 1")
-    best = Window.partitionBy("stratum", "rule").orderBy("cutoff")
-    return passed.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("stratum", "rule", "cutoff", "good", "rejected", "p_value")
+    gained = passed.withColumn("gain", F.col("caught") - COST * F.col("rejected")).where("gain > 0")
+    best = Window.partitionBy("stratum", "rule").orderBy(F.col("gain").desc(), F.col("cutoff").desc())
+    return gained.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("stratum", "rule", "cutoff", "good", "rejected", "caught", "p_value")
 
 
 def apply_cutoffs(measured: DataFrame, cuts: DataFrame, *, stratum: str = "lang", strata_broadcast: int = 10_000) -> DataFrame:
@@ -168,9 +176,9 @@ WITH d AS (
          unnest([n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), n_capitals / greatest(word_chars, 1), n_shouts / greatest(word_chars, 1)]) AS x
   FROM f
 ), c AS (
-  SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (x > cut) AS k
+  SELECT stratum, rule, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND x > cut) AS k, count(*) FILTER (quality = 0 AND x > cut) AS caught
   FROM v JOIN labels USING (doc_id), unnest([0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01]::DOUBLE[]) AS u(cut)
-  WHERE quality = 1 AND NOT base_failed GROUP BY ALL
+  WHERE quality IN (0, 1) AND NOT base_failed GROUP BY ALL HAVING count(*) FILTER (quality = 1) > 0
 ), p AS (
   SELECT *, CASE WHEN k >= n * 0.004 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.004) + (n - i) * ln(0.996))) FROM unnest(generate_series(0, k)) AS u(i)) END AS pv,
          (SELECT count(DISTINCT stratum) FROM c) AS strata
@@ -178,7 +186,7 @@ WITH d AS (
 ), s AS (
   SELECT *, min(CASE WHEN pv <= 0.05 / (strata * 5) THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS ok FROM p
 ), cuts AS (
-  SELECT stratum, rule, min(cut) AS cut FROM s WHERE ok = 1 GROUP BY ALL
+  SELECT stratum, rule, cut FROM s WHERE ok = 1 AND caught - 10 * k > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - 10 * k DESC, cut DESC) = 1
 ), rejected AS (
   SELECT DISTINCT doc_id FROM v JOIN cuts USING (stratum, rule) WHERE x > cut
 )
