@@ -2,7 +2,8 @@
 
 A word is read character by character; the chance of a character given the ORDER - 1 before it (padded at the word's
 start, with an end mark) is an interpolated Kneser-Ney estimate. The highest order has counts of its own for toxic and
-for ordinary training documents. Below it both classes share one backoff model, whose continuation counts (how many
+for ordinary training documents (a word counts once for each document, and what only one document of a class has is discounted
+away). Below it both classes share one backoff model, whose continuation counts (how many
 different characters precede an n-gram) come from all documents of the corpus, so an expression that a class has
 hardly seen gets the same smoothed chance from both. A text's words give log-likelihood ratios; their length-normalised
 mean, the largest mean over WINDOW consecutive words (a toxic passage in a long text) and the same mean of positive ratios
@@ -35,6 +36,8 @@ from docaudit.llm.common import materialise, table
 from docaudit.llm.labelled import fit_logistic, held_out, label_sample, sigmoid
 
 ORDER, DISCOUNT, WINDOW = 6, 0.75, 16
+#: Discount of the classes' own counts, which count documents: what one document alone has says nothing of its class.
+OWN_DISCOUNT = 1.0
 SAMPLE = (16_000, 8_000)
 START, END = "\x02", "\x03"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -58,7 +61,7 @@ def gram_counts(docs: DataFrame, sample: DataFrame, order: int = ORDER) -> DataF
         seen: dict[int, Counter] = {-1: Counter(), 0: Counter(), 1: Counter()}
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[label].update(words_of(text.as_py()))
+                seen[label].update(set(words_of(text.as_py())))
             if sum(map(len, seen.values())) > 400_000:
                 yield from _gram_rows(seen, order)
                 seen = {k: Counter() for k in seen}
@@ -107,7 +110,7 @@ def shared_backoff(grams: DataFrame, order: int = ORDER, discount: float = DISCO
     return below
 
 
-def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, own: float = OWN_DISCOUNT) -> DataFrame:
     """gram, llr: log ratio of the toxic to the ordinary chance. Rows with order - 1 characters are contexts: the ratio of
     a character that neither class has seen there."""
     shared = shared_backoff(grams, order, discount).select(F.col("gram").alias("suffix"), "p")
@@ -116,8 +119,8 @@ def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
     chances, weights = {}, {}
     for c in ("toxic", "ordinary"):
         total, types = F.sum(f"n_{c}").over(context), F.count_if(F.col(f"n_{c}") > 0).over(context)
-        weights[c] = F.when(total > 0, discount * types / total).otherwise(1.0)
-        chances[c] = F.when(total > 0, F.greatest(F.col(f"n_{c}") - discount, F.lit(0.0)) / total).otherwise(0.0)
+        weights[c] = F.when(total > 0, own * types / total).otherwise(1.0)
+        chances[c] = F.when(total > 0, F.greatest(F.col(f"n_{c}") - own, F.lit(0.0)) / total).otherwise(0.0)
     table_ = seen.select("gram", "suffix", "context", *[chances[c].alias(f"own_{c}") for c in chances], *[weights[c].alias(f"rest_{c}") for c in weights]).join(shared, "suffix")
     p = {c: F.col(f"own_{c}") + F.col(f"rest_{c}") * F.col("p") for c in chances}
     full = table_.select("gram", F.log(p["toxic"] / p["ordinary"]).alias("llr"))
