@@ -20,8 +20,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -34,7 +36,8 @@ from docaudit.llm.common import table
 VOCABULARY = "byte_bpe_50k.json"
 #: The byte-level splitting pattern of the vocabulary; white space as Unicode's property has it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 150_000
+#: Pieces in each of the two generations of a worker's cache; pair tests are kept in twice that number.
+CACHE = 40_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -114,7 +117,7 @@ class Bpe:
                     key = before << 20 | no
                     ok = fits.get(key)
                     if ok is None:
-                        if len(fits) > 8 * CACHE:
+                        if len(fits) > 2 * CACHE:
                             fits.clear()
                         ok = fits[key] = self._compatible(before, no)
                     if ok:
@@ -158,7 +161,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_decode(df: DataFrame, path: str, *, text_col: str = "text", batch_bytes: int = 1 << 22) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, *, text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """df with ids array<int> and decoded string. path: the vocabulary file, on the driver."""
     spark = df.sparkSession
     with open(path, "rb") as file:
@@ -176,7 +179,8 @@ def encode_decode(df: DataFrame, path: str, *, text_col: str = "text", batch_byt
                     found = bpe.encode(text or "")
                     ids.append(found)
                     decoded.append(bpe.decode(found))
-                flat = pa.ListArray.from_arrays(_offsets(map(len, ids)), pa.array([x for one in ids for x in one], pa.int32()))
+                offsets = _offsets(map(len, ids))
+                flat = pa.ListArray.from_arrays(offsets, pa.array(np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1].as_py())))
                 yield pa.RecordBatch.from_arrays([*part.columns, flat, pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
 
     return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)

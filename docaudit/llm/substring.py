@@ -43,7 +43,7 @@ WINDOW, GRAM = 20, 8
 _LAST = (1 << 63) - 1
 _PLACE = 40  # bits of a position; the bits above tell texts of one doc_id apart
 _TAG = (1 << 20) - 1
-_PART = 1 << 20
+_PART = 1 << 19
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -174,7 +174,7 @@ def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in slices(batch, 2, 4 * _PART):
+            for part in slices(batch, 2, _PART):
                 s = Suffixes(part.column(2), window, gram)
                 s.index()
                 fresh = np.ones(len(s.at), bool)
@@ -240,7 +240,7 @@ def _label_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in slices(batch, 2, 4 * _PART):
+            for part in slices(batch, 2, _PART):
                 s = Suffixes(part.column(2), window, gram)
                 s.index()
                 wanted = np.zeros(len(s.starts) + 1, bool)
@@ -304,7 +304,7 @@ def _cut(window: int, rest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, rest, 4 * _PART):
+            for part in slices(batch, rest, _PART):
                 s = Suffixes(part.column(rest), window, GRAM)
                 drop = np.zeros(len(s.starts) + 1, np.int32)
                 lists = part.column(rest + 1).fill_null([]) if part.column(rest + 1).null_count else part.column(rest + 1)
