@@ -228,10 +228,9 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, r
     return marked.join(named, marked["fp"] == named["n_fp"]).select("doc_id", "text_key", "fp", "group", "component_id")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs that stay, with their columns: of each group the one with the least doc_id (null last, then by a
-    hash of the text); rows repeated with that doc_id and text stay once."""
-    found = materialise(near_duplicates(docs.select("doc_id", "text"), **options), "groups")
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each group of found(doc_id, text_key, group) the one with the
+    least doc_id (null last, then by a hash of the text); rows repeated with that doc_id and text stay once."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     kept = found.groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key"))
     key = F.xxhash64("text")
@@ -240,6 +239,11 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     return out.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key") if repeated else out
 
 
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of docs that stay: of each SimHash group the first."""
+    return keep_first(docs, materialise(near_duplicates(docs.select("doc_id", "text"), **options), "groups"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
