@@ -11,8 +11,10 @@ window's depth, where an inner node (two suffixes or more with the same first `w
 * Anchors that occur once in the corpus are leaves high up and end there. A task first compares its own anchors and
   sends one suffix for each; a shared prefix thus reaches its group as at most one row from each task.
 * For the anchors that occur again, the suffixes' windows (path labels, as 64-bit hashes below a 64-bit prefix) are
-  filed by anchor. Labels that a task has already seen are repeats at once and only the earliest one travels, so the
-  prefix that tells suffixes apart grows up to the whole window where a group is hot, and each group fits in memory.
+  filed by anchor. Labels that a task has already seen are repeats at once and only the earliest one travels.
+* Occurrences of an anchor are counted over all tasks. Where they exceed `bound`, the prefix grows to the whole window:
+  windows are filed by anchor and label, and such a group has one row from each task at most. All other groups have at
+  most window - gram + 1 windows for each of `bound` occurrences, so each group fits in memory.
 * In each group, sorted by label and place, all but the first suffix of a label are repeats; neighbouring repeats in a
   document merge into maximal repeated spans, which are cut from the text.
 
@@ -37,9 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docaudit.llm.bpe import slices
-from docaudit.llm.common import split_words, table
+from docaudit.llm.common import materialise, split_words, table
 
 WINDOW, GRAM = 20, 8
+#: Occurrences of an anchor beyond which its windows are filed by their labels too.
+BOUND = 20_000
 _LAST = (1 << 63) - 1
 _PLACE = 40  # bits of a position; the bits above tell texts of one doc_id apart
 _TAG = (1 << 20) - 1
@@ -169,7 +173,8 @@ def _out(columns: dict[str, np.ndarray | pa.Array], rows: int = 200_000) -> Iter
 
 
 def _anchor_rows(window: int, gram: int):
-    """Suffix for each anchor: route (group), d, place, known (the anchor was met before in this task)."""
+    """Suffix for each anchor: route (group), d, place, known (the anchor was met before in this task), n (how often
+    this task has the anchor; on the one row that meets its group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -190,7 +195,10 @@ def _anchor_rows(window: int, gram: int):
             known[:-1] |= same[1:]
             # those that need not meet their group go anywhere
             route = np.where(same, _mix(place.view(np.uint64) ^ d.view(np.uint64)), anchors)
-            yield from _out({"route": route, "d": d, "place": place, "known": known, "meets": ~same})
+            meets = np.flatnonzero(~same)
+            n = np.zeros(len(same), np.int64)
+            n[meets] = np.diff(np.concatenate([meets, [len(same)]]))
+            yield from _out({"route": route, "d": d, "place": place, "known": known, "n": n})
 
     return run
 
@@ -212,15 +220,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _runs(batches):
-        route, d, place, known, meets = (rows.column(i).to_numpy() for i in range(5))
-        again = np.zeros(len(route), bool)
-        m = np.flatnonzero(meets)
-        equal = route[m][1:] == route[m][:-1]
-        again[m[1:][equal]] = again[m[:-1][equal]] = True
-        yes = again | known
-        yield from _out({"d": d[yes], "place": place[yes]})
+def _repeated_anchors(bound: int):
+    """Places of the anchors that occur again; in rows of their own, the anchors that occur more than `bound` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            route, d, place, known, n = (rows.column(i).to_numpy() for i in range(5))
+            again = np.zeros(len(route), bool)
+            m = np.flatnonzero(n)
+            equal = route[m][1:] == route[m][:-1]
+            again[m[1:][equal]] = again[m[:-1][equal]] = True
+            yes = again | known
+            none = pa.nulls(int(yes.sum()), pa.int64())
+            yield from _out({"d": d[yes], "place": place[yes], "hot": none})
+            if len(m):
+                starts = np.flatnonzero(np.concatenate([[True], ~equal]))
+                hot = route[m][starts][np.add.reduceat(n[m], starts) > bound]
+                none = pa.nulls(len(hot), pa.int64())
+                yield from _out({"d": none, "place": none, "hot": hot})
+
+    return run
 
 
 def _ranges(d: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
@@ -234,8 +253,9 @@ def _ranges(d: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
     return {"d": d[first], "tag": place[first] >> _PLACE, "start": place[first] & ((1 << _PLACE) - 1), "n": n}
 
 
-def _label_rows(window: int, gram: int):
-    """Windows of the repeated anchors of each text, by anchor; those that this task has met earlier already as ranges."""
+def _label_rows(window: int, gram: int, hot: np.ndarray):
+    """Windows of the repeated anchors of each text, by anchor (of the anchors in `hot`, sorted, by anchor and label);
+    those that this task has met earlier already as ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -268,12 +288,14 @@ def _label_rows(window: int, gram: int):
         anchors, labels, d, place = anchors[rest], labels[rest], d[rest], place[rest]
         order = np.lexsort((place, d, anchors))
         anchors, labels, d, place = anchors[order], labels[order], d[order], place[order]
+        split = hot[np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)] == anchors if len(hot) else np.zeros(len(d), bool)
+        route = np.where(split, _mix(anchors ^ labels), anchors)
         new = np.ones(len(d), bool)
-        new[1:] = (anchors[1:] != anchors[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1] + 1)
+        new[1:] = (route[1:] != route[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1] + 1)
         first = np.flatnonzero(new)
         bounds = np.concatenate([first, [len(d)]]).astype(np.int64) * 8
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(labels.tobytes())]).cast(pa.binary())
-        yield from _out({"route": anchors[first], "d": d[first], "tag": place[first] >> _PLACE, "start": place[first] & ((1 << _PLACE) - 1), "n": np.diff(bounds) // 8, "labels": packed})
+        yield from _out({"route": route[first], "d": d[first], "tag": place[first] >> _PLACE, "start": place[first] & ((1 << _PLACE) - 1), "n": np.diff(bounds) // 8, "labels": packed})
 
     return run
 
@@ -339,21 +361,26 @@ def _keep(s: Suffixes, first: int, last: int, gone: np.ndarray) -> str:
     return b"\n".join(s.buffer[a:b].tobytes() for a, b in zip(starts, ends, strict=True)).decode()
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, bound: int = BOUND) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the text without the repeated spans; unchanged where none is)."""
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("__d")
     tag = F.xxhash64("text").bitwiseAND(F.lit(_TAG)).alias("__tag")
     texts = docs.select(d, tag, F.col("text"))
-    anchors = texts.mapInArrow(_anchor_rows(window, gram), "route bigint, d bigint, place bigint, known boolean, meets boolean")
-    again = anchors.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors, "d bigint, place bigint")
+    anchors = texts.mapInArrow(_anchor_rows(window, gram), "route bigint, d bigint, place bigint, known boolean, n bigint")
+    again = anchors.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors(bound), "d bigint, place bigint, hot bigint")
+    again = materialise(again, "anchors")
+    # at most one for `bound` suffixes
+    hot = again.where("hot IS NOT NULL").select("hot").toArrow().column("hot").to_numpy().astype(np.int64)
+    hot = np.sort(hot.view(np.uint64))
+    again = again.where("hot IS NULL")
     low = F.lit((1 << _PLACE) - 1)
     listed = again.groupBy("d", F.shiftright("place", _PLACE).alias("t")).agg(F.array_distinct(F.collect_list(F.col("place").bitwiseAND(low))).alias("places"))
     whole = docs.select(*[F.col(f"`{c}`") for c in rest], d, tag)
     met = whole.join(listed, (whole["__d"] == listed["d"]) & (whole["__tag"] == listed["t"]))
     # every column comes along, so that both joins shuffle the same table and Spark shuffles it once
     met = met.select("__d", "__tag", "text", "places", *[F.col(f"`{c}`") for c in rest if c != "text"])
-    labels = met.mapInArrow(_label_rows(window, gram), "route bigint, d bigint, tag bigint, start bigint, n bigint, labels binary")
+    labels = met.mapInArrow(_label_rows(window, gram, hot), "route bigint, d bigint, tag bigint, start bigint, n bigint, labels binary")
     ranges = labels.repartition("route").sortWithinPartitions("route").mapInArrow(_repeats, "d bigint, tag bigint, start bigint, n bigint")
     spans = ranges.groupBy(F.col("d").alias("s_d"), F.col("tag").alias("s_tag")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
     full = whole.join(spans, (whole["__d"] == spans["s_d"]) & (whole["__tag"] == spans["s_tag"]), "left")
