@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,48 +115,42 @@ def _conversation_batch(done: list[tuple]) -> pa.RecordBatch:
 class _Packer:
     """Nodes of the packs of one partition, in depth-first order."""
 
-    def __init__(self, name: str, encode, tokens: int, most: int) -> None:
-        self.name, self.encode, self.tokens, self.most = name, encode, tokens, most
+    def __init__(self, name: str, tokens: int, most: int) -> None:
+        self.name, self.tokens, self.most = name, tokens, most
         self.number, self.rows = 0, []
         self.fresh()
 
     def fresh(self) -> None:
-        #: open nodes: (key, node, start, tokens, position)
-        self.open: list[tuple[bytes, int, int, int, int]] = []
+        #: open nodes: their place (node, start, tokens, position), what they hold (key, ids, low, high) and their row
+        self.open: list[tuple[tuple[int, int, int, int], tuple, list]] = []
         self.used = self.held = self.nodes = 0
 
-    def add(self, conv: int | None, path: bytes, roles: list[str], texts: list[str]) -> None:
-        keys = [path[i : i + 16] for i in range(0, len(path), 16)]
-        shared = 0
-        while shared < len(self.open) and shared < len(keys) and self.open[shared][0] == keys[shared]:
-            shared += 1
-        new = [format_turn(r, t) for r, t in zip(roles[shared:], texts[shared:], strict=True)]
-        ids = [self.encode(w) for w, _, _ in new]
-        if self.nodes and (self.used + sum(map(len, ids)) > self.tokens or self.held >= self.most):
+    def add(self, conv: int | None, shared: int, new: list[tuple]) -> None:
+        """The next conversation: it shares its first turns with the one before; new holds (key, ids, low, high) of the others."""
+        kept = self.open[:shared]
+        if self.nodes and (self.used + sum(len(x[1]) for x in new) > self.tokens or self.held >= self.most):
             self.number += 1
             self.fresh()
-            if shared:
-                shared = 0
-                new = [format_turn(r, t) for r, t in zip(roles, texts, strict=True)]
-                ids = [self.encode(w) for w, _, _ in new]
-        del self.open[shared:]
+            new = [x for _, x, _ in kept] + new  # a pack repeats the open ancestors
+        else:
+            self.open = kept
         self.held += 1
-        for key, (_, low, high), own in zip(keys[shared:], new, ids, strict=True):
+        for held in new:
+            _, own, low, high = held
             attends: list[list[int]] = []
-            for _, _, start, n, _ in self.open:
+            for (_, start, n, _), _, _ in self.open:
                 if attends and attends[-1][1] == start:
                     attends[-1][1] = start + n
                 else:
                     attends.append([start, start + n])
-            parent = self.open[-1] if self.open else None
-            position = parent[4] + parent[3] if parent else 0
-            self.open.append((key, self.nodes, self.used, len(own), position))
-            self.rows.append([f"{self.name}-{self.number}", self.nodes, parent[1] if parent else -1, self.used, position, own, [{"start": a, "end": b} for a, b in attends], low, high, []])
+            parent = self.open[-1][0] if self.open else None
+            position = parent[3] + parent[2] if parent else 0
+            row = [f"{self.name}-{self.number}", self.nodes, parent[0] if parent else -1, self.used, position, own, [{"start": a, "end": b} for a, b in attends], low, high, []]
+            self.rows.append(row)
+            self.open.append(((self.nodes, self.used, len(own), position), held, row))
             self.nodes += 1
             self.used += len(own)
-        self.last = self.open[-1][1]
-        row = self.rows[-1] if self.rows and self.rows[-1][1] == self.last and self.rows[-1][0] == f"{self.name}-{self.number}" else next(r for r in reversed(self.rows) if r[1] == self.last)
-        row[9].append(conv)
+        self.open[-1][2][9].append(conv)
 
     def take(self, all_rows: bool) -> list[list]:
         """Rows of finished packs, or all."""
@@ -179,16 +174,24 @@ def format_packs(rows: DataFrame, path: str, *, pack_tokens: int = PACK_TOKENS,
     loss mask), conv_ids (conversations that end here).
     """
     with open(path, "rb") as file:
-        shared = rows.sparkSession.sparkContext.broadcast(file.read())
+        shared_file = rows.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = None
+        packer, before = None, []
         for batch in batches:
-            for conv, key, roles, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found, written = [], []
+            for conv, path, roles, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if packer is None:  # a name that any other run of this task gives again
-                    name = hashlib.blake2b(key + str(conv).encode(), digest_size=10).hexdigest()
-                    packer = _Packer(name, _loaded(shared.value).encode, pack_tokens, pack_conversations)
-                packer.add(conv, key, roles, texts)
+                    packer = _Packer(hashlib.blake2b(path + str(conv).encode(), digest_size=10).hexdigest(), pack_tokens, pack_conversations)
+                keys = [path[i : i + 16] for i in range(0, len(path), 16)]
+                shared = next((i for i, (a, b) in enumerate(zip(before, keys, strict=False)) if a != b), min(len(before), len(keys)))
+                turns = [format_turn(r, t) for r, t in zip(roles[shared:], texts[shared:], strict=True)]
+                written += [w for w, _, _ in turns]
+                found.append((conv, shared, [(k, low, high) for k, (_, low, high) in zip(keys[shared:], turns, strict=True)]))
+                before = keys
+            ids = iter(_loaded(shared_file.value).encode_texts(written))
+            for conv, shared, new in found:
+                packer.add(conv, shared, [(k, next(ids), low, high) for k, low, high in new])
                 if len(packer.rows) >= 4000 and (done := packer.take(False)):
                     yield _pack_batch(done)
         if packer is not None and (done := packer.take(True)):
@@ -203,18 +206,20 @@ def read_back(packs: DataFrame, path: str) -> DataFrame:
         shared = packs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _loaded(shared.value).decode
+        bpe = _loaded(shared.value)
         pack, stack = None, []
         for batch in batches:
             out: list[tuple] = []
-            for name, node, parent, ids, low, high, convs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lists = batch.column(3)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            texts = bpe.decode_all(lists.flatten().to_numpy(), bounds - bounds[0])
+            for name, node, parent, written, low, high, convs in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), texts, *(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
                 if name != pack:
                     pack, stack = name, []
                 while stack and stack[-1][0] != parent:
                     stack.pop()
                 if parent >= 0 and not stack:
                     raise ValueError("a node without its parent")
-                written = decode(ids)
                 role, text = parse_turn(written)
                 _, n, turns, chars, loss, total = stack[-1] if stack else (-1, 0, hashlib.sha256(), 0, hashlib.sha256(), 0)
                 turns, loss = turns.copy(), loss.copy()
