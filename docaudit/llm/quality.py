@@ -4,14 +4,16 @@ Every text becomes a vector of surface features (shares of symbols, capitals, re
 put a document labelled good against one labelled bad; logistic loss on the difference of their features learns the
 weights of a utility, so that the better document of a pair tends to have the larger one. A one-dimensional logistic
 fit maps the utility to a score between 0 and 1. The operator keeps documents whose score reaches a quantile of the
-good training documents' scores (and never asks for more than `CERTAIN`).
+training documents' scores: the one at the share of bad labels, half way between the scores on both sides of it. So as
+large a share goes as the labels call bad.
 
 Fitted on at most SAMPLE labelled documents of each class (the bound on labelled rows; chosen by a hash of doc_id) and
 PAIRS pairs; every document is scored. Labels, lang, source and doc_id are no features.
 
 Defined results: null or empty text: all features 0, scored like any other. No pairs (a class has no training labels): every
 score is the share of good labels among the training labels, 0.5 if there are none. Repeated rows: one result each. Extra
-columns are ignored by the query and kept by the filter. Empty table: empty result.
+columns are ignored by the query and kept by the filter, whatever their names. No labels: the filter keeps all. Empty
+table: empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docaudit.llm.common import DOC_COLUMNS, table
+from docaudit.llm.common import DOC_COLUMNS, fresh, table
 from docaudit.llm.labelled import fit_logistic, held_out, label_sample, sigmoid
 
 SAMPLE, PAIRS = 8_000, 40_000
-QUANTILE, CERTAIN = 0.002, 0.3
 FEATURES = (
     "log words", "symbols", "symbol words", "shouts", "digits", "capitals", "capitals over half", "sentence marks", "bars", "one minus variety", "adjacent repeats",
     "most frequent word", "repeated triples", "repeated lines", "word length", "no words",
@@ -88,7 +89,7 @@ class Ranker:
         return np.full(len(x), self.prior) if self.weights is None else sigmoid(self.scale * (x @ self.weights) + self.shift)
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, pairs: int = PAIRS, quantile: float = QUANTILE, prevalence: float | None = None) -> Ranker:
+def fit(x: np.ndarray, y: np.ndarray, *, pairs: int = PAIRS, prevalence: float | None = None) -> Ranker:
     """x: features, y: 1 good, 0 bad. prevalence: the share of good labels, if the sample is not in proportion."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     share = prevalence if prevalence is not None else (len(good) / len(y) if len(y) else 0.5)
@@ -101,8 +102,17 @@ def fit(x: np.ndarray, y: np.ndarray, *, pairs: int = PAIRS, quantile: float = Q
     weight = np.where(y == 1, share / len(good), (1 - share) / len(bad)) * len(y)
     scale, shift = fit_logistic(utility[:, None], y.astype(float), weight, ridge=1e-4)
     ranker = Ranker(weights, float(max(scale, 0.0)), float(shift), share, 0.0)
-    least = float(np.quantile(ranker.scores(x[good]), quantile))
-    return Ranker(weights, ranker.scale, ranker.shift, share, min(least, CERTAIN))
+    return Ranker(weights, ranker.scale, ranker.shift, share, quantile(ranker.scores(x), weight, 1 - share))
+
+
+def quantile(scores: np.ndarray, weight: np.ndarray, level: float) -> float:
+    """The middle between the last score within the share `level` of the weight and the next one."""
+    order = np.argsort(scores, kind="stable")
+    below = int((np.cumsum(weight[order]) <= (level + 1e-9) * weight.sum()).sum())
+    if not below:
+        return 0.0
+    s = scores[order]
+    return float((s[below - 1] + s[min(below, len(s) - 1)]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ranker:
@@ -136,9 +146,10 @@ def score(docs: DataFrame, ranker: Ranker, *, text_col: str = "text", name: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score reaches the quantile threshold, with their columns."""
-    ranker = train(docs.select(*DOC_COLUMNS[:2]), labels)
-    return score(docs, ranker, name="__score").where(F.col("__score") >= ranker.threshold).drop("__score")
+    """The rows of docs whose score reaches the quantile threshold, with their columns. Nulls, ties, repeated rows and
+    empty tables as above; equal texts share their fate."""
+    ranker, name = train(docs.select(*DOC_COLUMNS[:2]), labels), fresh(docs, "__score")
+    return score(docs, ranker, name=name).where(F.col(name) >= ranker.threshold).drop(name)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
