@@ -1,17 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-Every document gets a few measures (shares of symbols, repeated lines, repeated words, capitals, exclamation marks). A
-rule rejects a document whose measure exceeds a cutoff. Cutoffs come from the labelled good documents: within a stratum
-(language) each rule walks its ladder of cutoffs from loose to strict, tests at each step the hypothesis "this cutoff
-rejects more than alpha of the good documents" with the exact binomial tail, and stops at the first step it cannot
-refute. The fixed order keeps the error of a ladder at its level; the level is delta divided by the number of ladders
-(strata times rules), and alpha is divided among the rules. So with probability 1 - delta no stratum loses more than
-alpha of its good documents. Of the certified cutoffs of a ladder the most useful one is taken (bad documents caught, less
-COST for each good one rejected), or none. A stratum with too few labels gets no cutoff and loses nothing to the rules.
+Every document gets a few measures (shares of symbols, repeated lines, repeated words, capitals, exclamation marks). Its
+excess is the largest of them in units of its rule's scale (RULES), so one cutoff of the excess is a cutoff for every rule
+at once, and a document is rejected if any rule rejects it. Cutoffs come from the labelled good documents: within a stratum
+(language) the cutoff walks one ladder from loose to strict, tests at each step the hypothesis "this cutoff rejects more
+than alpha of the good documents" with the exact binomial tail, and stops at the first step it cannot refute. The fixed
+order keeps the error of a ladder at its level; the level is delta divided by the number of ladders, one for each stratum
+that has labels enough to refute anything (their count alone decides). So with probability 1 - delta no stratum loses
+more than alpha of its good documents to all rules together. Of the certified cutoffs the most useful one is taken (bad
+documents caught, less COST for each good one rejected), or none. A stratum with too few labels gets no cutoff and loses
+nothing to the rules.
 
 Only DataFrame functions run. Defined results: null or empty text: no words, all counts 0, base_failed true. Null lang:
 a stratum of its own. Labels that are null, or of unknown documents, are left out; a document labelled more than once
-counts once for each label row. Repeated rows: one result each. Extra columns are ignored. Empty tables: empty result.
+takes its larger label, and an id that several rows have counts once, with their largest excess. Repeated rows: one result
+each. Extra columns are ignored. Empty tables: empty result.
 """
 
 from __future__ import annotations
@@ -28,17 +31,19 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Per stratum: the share of good documents that all rules together may reject, and the chance of exceeding it.
 ALPHA, DELTA = 0.02, 0.05
-LADDER = (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01)
+LADDER = (4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
 #: Bad documents that one rejected good document weighs when a cutoff is chosen among the certified ones.
 COST = 10
-#: Rule: its value, from the counts of one document.
+#: Rule: its value, from the counts of one document, and the scale at which it is usually held to be too much.
 RULES = {
-    "symbols": "n_symbols / greatest(word_chars, 1)",
-    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "capitals": "n_capitals / greatest(word_chars, 1)",
-    "shouts": "n_shouts / greatest(word_chars, 1)",
+    "symbols": ("n_symbols / greatest(word_chars, 1)", 0.1),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.3),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.2),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", 0.3),
+    "shouts": ("n_shouts / greatest(word_chars, 1)", 0.02),
 }
+#: The largest of the rules' values in units of their scales.
+EXCESS = "greatest(" + ", ".join(f"({value}) / {scale}D" for value, scale in RULES.values()) + ")"
 
 
 def _covered(windows: Column) -> Column:
@@ -104,39 +109,34 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, ladder: Sequence[float] = LADDER) -> DataFrame:
-    """For each stratum and rule its cutoff: stratum, rule, cutoff, good, rejected, caught (bad ones), p_value. Of the certified
-    cutoffs the one that catches most bad documents, a rejected good one weighing COST of them (ties: the loosest); none that
-    gains nothing."""
-    share = alpha / len(RULES)
-    known = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("l_id"), (F.col("quality") == 1).alias("fine"))
-    held = measured.where(~base_failed()).join(known, F.col("doc_id") == F.col("l_id"))
-    held = held.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "fine", *[F.expr(v).alias(r) for r, v in RULES.items()])
+    """For each stratum its cutoff of the excess: stratum, cutoff, good, rejected, caught (bad ones), p_value. Of the
+    certified cutoffs the one that catches most bad documents, a rejected good one weighing COST of them (ties: the loosest);
+    none that gains nothing."""
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("l_id")).agg((F.max("quality") == 1).alias("fine"))
+    held = measured.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.expr(EXCESS).alias("excess"))
+    held = held.join(known, F.col("doc_id") == F.col("l_id")).groupBy("l_id").agg(F.min("stratum").alias("stratum"), F.max("excess").alias("excess"), F.first("fine").alias("fine"))
     counted = held.groupBy("stratum").agg(
         F.count_if("fine").alias("good"),
-        F.array(*[
-            F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.count_if(F.col("fine") & (F.col(r) > c)).alias("rejected"), F.count_if(~F.col("fine") & (F.col(r) > c)).alias("caught"))
-            for r in RULES for c in ladder
-        ]).alias("tests"),
+        F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.count_if(F.col("fine") & (F.col("excess") > c)).alias("rejected"), F.count_if(~F.col("fine") & (F.col("excess") > c)).alias("caught")) for c in ladder]).alias("tests"),
     )
-    counted = counted.where("good > 0")
-    counted = counted.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # before the tests multiply the rows
+    # strata that could pass with no rejection at the whole level; before the tests multiply the rows
+    counted = counted.where(F.pow(F.lit(1.0 - alpha), F.col("good")) <= delta)
+    counted = counted.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
     tested = counted.select("stratum", "good", "strata", F.inline("tests"))
     k, n = F.col("rejected"), F.col("good")
-    tested = tested.withColumn("p_value", F.when(k >= n * share, F.lit(1.0)).otherwise(binomial_tail(k, n, share)))
-    walk = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc())
-    passed = tested.withColumn("ok", F.min((F.col("p_value") <= delta / (F.col("strata") * len(RULES))).cast("int")).over(walk)).where("ok = 1")
+    tested = tested.withColumn("p_value", F.when(k >= n * alpha, F.lit(1.0)).otherwise(binomial_tail(k, n, alpha)))
+    walk = Window.partitionBy("stratum").orderBy(F.col("cutoff").desc())
+    passed = tested.withColumn("ok", F.min((F.col("p_value") <= delta / F.col("strata")).cast("int")).over(walk)).where("ok = 1")
     gained = passed.withColumn("gain", F.col("caught") - COST * F.col("rejected")).where("gain > 0")
-    best = Window.partitionBy("stratum", "rule").orderBy(F.col("gain").desc(), F.col("cutoff").desc())
-    return gained.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("stratum", "rule", "cutoff", "good", "rejected", "caught", "p_value")
+    best = Window.partitionBy("stratum").orderBy(F.col("gain").desc(), F.col("cutoff").desc())
+    return gained.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("stratum", "cutoff", "good", "rejected", "caught", "p_value")
 
 
 def apply_cutoffs(measured: DataFrame, cuts: DataFrame, *, stratum: str = "lang", strata_broadcast: int = 10_000) -> DataFrame:
     """measured with base_failed and kept."""
-    wide = cuts.groupBy(F.col("stratum").alias("c_stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
-    out = measured.join(broadcast_within(wide, strata_broadcast), F.coalesce(F.col(stratum), F.lit("")) == F.col("c_stratum"), "left")
-    rejected = F.lit(False)
-    for r, value in RULES.items():
-        rejected = rejected | F.coalesce(F.expr(value) > F.col(f"c_{r}"), F.lit(False))
+    known = cuts.select(F.col("stratum").alias("c_stratum"), F.col("cutoff").alias("c_cutoff"))
+    out = measured.join(broadcast_within(known, strata_broadcast), F.coalesce(F.col(stratum), F.lit("")) == F.col("c_stratum"), "left")
+    rejected = F.coalesce(F.expr(EXCESS) > F.col("c_cutoff"), F.lit(False))
     return out.select(*[measured[c] for c in measured.columns], base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
 
 
@@ -172,24 +172,25 @@ WITH d AS (
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 ), v AS (
-  SELECT doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'shouts']) AS rule,
-         unnest([n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), n_capitals / greatest(word_chars, 1), n_shouts / greatest(word_chars, 1)]) AS x
+  SELECT *, greatest(n_symbols / greatest(word_chars, 1) / 0.1::DOUBLE, n_dup_lines / greatest(n_lines, 1) / 0.3::DOUBLE, n_repeat_words / greatest(n_words, 1) / 0.2::DOUBLE,
+                     n_capitals / greatest(word_chars, 1) / 0.3::DOUBLE, n_shouts / greatest(word_chars, 1) / 0.02::DOUBLE) AS x
   FROM f
+), l AS (
+  SELECT doc_id, min(stratum) AS stratum, max(x) AS x, max(quality) AS quality FROM v JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed GROUP BY doc_id
+), n AS (
+  SELECT stratum, count(*) AS n FROM l WHERE quality = 1 GROUP BY stratum HAVING 0.98 ** count(*) <= 0.05
 ), c AS (
-  SELECT stratum, rule, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND x > cut) AS k, count(*) FILTER (quality = 0 AND x > cut) AS caught
-  FROM v JOIN labels USING (doc_id), unnest([0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01]::DOUBLE[]) AS u(cut)
-  WHERE quality IN (0, 1) AND NOT base_failed GROUP BY ALL HAVING count(*) FILTER (quality = 1) > 0
+  SELECT stratum, cut, n, count(*) FILTER (quality = 1 AND x > cut) AS k, count(*) FILTER (quality = 0 AND x > cut) AS caught
+  FROM l JOIN n USING (stratum), unnest([4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.0, 0.9, 0.8, 0.7, 0.6, 0.5]::DOUBLE[]) AS u(cut) GROUP BY ALL
 ), p AS (
-  SELECT *, CASE WHEN k >= n * 0.004 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.004) + (n - i) * ln(0.996))) FROM unnest(generate_series(0, k)) AS u(i)) END AS pv,
-         (SELECT count(DISTINCT stratum) FROM c) AS strata
-  FROM c
+  SELECT *, CASE WHEN k >= n * 0.02 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.02) + (n - i) * ln(0.98))) FROM unnest(generate_series(0, k)) AS u(i)) END AS pv FROM c
 ), s AS (
-  SELECT *, min(CASE WHEN pv <= 0.05 / (strata * 5) THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS ok FROM p
+  SELECT *, min(CASE WHEN pv <= 0.05 / (SELECT count(*) FROM n) THEN 1 ELSE 0 END) OVER (PARTITION BY stratum ORDER BY cut DESC) AS ok FROM p
 ), cuts AS (
-  SELECT stratum, rule, cut FROM s WHERE ok = 1 AND caught - 10 * k > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - 10 * k DESC, cut DESC) = 1
+  SELECT stratum, cut FROM s WHERE ok = 1 AND caught - 10 * k > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY caught - 10 * k DESC, cut DESC) = 1
 ), rejected AS (
-  SELECT DISTINCT doc_id FROM v JOIN cuts USING (stratum, rule) WHERE x > cut
+  SELECT doc_id FROM v JOIN cuts USING (stratum) WHERE x > cut
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.doc_id IS NULL AS kept
-FROM f LEFT JOIN rejected USING (doc_id)
+FROM f LEFT JOIN (SELECT DISTINCT doc_id FROM rejected) rejected USING (doc_id)
 """
