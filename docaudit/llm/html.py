@@ -11,7 +11,8 @@ White space inside a block, line breaks (br) included, becomes one space; charac
 templates, comments and the head hold no blocks.
 
 Defined results: null or empty html: empty text. Broken markup: end tags without a start are skipped, elements left open
-end with the page, a `<` that starts no tag is text. Repeated rows: one result each. Extra columns are kept, unless named
+end with the page, a `<` that starts no tag is text. Elements nested deeper than DEEPEST count as children of the last one
+above (their text stays). The scan takes time in proportion to the page, however broken it is. Repeated rows: one result each. Extra columns are kept, unless named
 text or n_chars, which the results replace. Empty table: empty result.
 """
 
@@ -34,7 +35,9 @@ from docaudit.llm.common import table
 from docaudit.llm.page_samples import labelled_page
 
 TRAINING_PAGES = 900
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+DEEPEST = 512
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+_COMMENT_END, _STOP = re.compile(r"--!?>"), re.compile(r"""[>"']""")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
@@ -70,12 +73,67 @@ def _names(attributes: str) -> frozenset[str]:
 _NONE: frozenset[str] = frozenset()
 
 
+class Markup:
+    """Finds the tags of a page. A tag ends at the first `>` outside quotes; what is learnt of quotes that never close is
+    kept, so no stretch of the page is read more than a few times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.hopeless = page, set()
+        self.stop_from, self.stop = 0, -2  # the first of > " ' at or after stop_from; -1: none
+
+    def _next_stop(self, at: int) -> int:
+        if self.stop == -2 or at < self.stop_from or -1 < self.stop < at:
+            m = _STOP.search(self.page, at)
+            self.stop_from, self.stop = at, m.start() if m else -1
+        return self.stop
+
+    def _tag_end(self, at: int) -> int:
+        """Place behind the `>` that ends the tag whose attributes start here; -1: it never ends."""
+        page, opened = self.page, []
+        while True:
+            at = self._next_stop(at)
+            if at < 0 or at in self.hopeless:
+                break
+            if page[at] == ">":
+                return at + 1
+            opened.append(at)
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                break
+        self.hopeless.update(opened)
+        return -1
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """start, end, name, whether it is an end tag, attributes. Comments and declarations have no name. The caller may
+        send a place to go on from."""
+        page, at, closes = self.page, 0, True
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                m = _COMMENT_END.search(page, start + 4)
+                at = m.end() if m else len(page)
+                yield start, at, "", False, ""
+            elif page[at : at + 1] in ("!", "?"):
+                end = page.find(">", at) if closes else -1
+                closes = end >= 0
+                if closes:
+                    at = end + 1
+                    yield start, at, "", False, ""
+            else:
+                ends = page[at : at + 1] == "/"
+                name = _NAME.match(page, at + ends)
+                end = self._tag_end(name.end()) if name else -1
+                if end >= 0:
+                    at = (yield start, end, name[0].lower(), ends, page[name.end() : end - 1]) or end
+
+
 def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    deeper: dict[str, int] = {}
     pieces: list[str] = []
-    linked, links, at, hidden = 0, 0, 0, 0
+    linked, links, hidden, done = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -92,30 +150,37 @@ def blocks(page: str | None) -> list[Block]:
             hidden -= tag in INVISIBLE
         del stack[keep:]
 
-    find, length = _TOKEN.search, len(page)
-    while at < length:
-        m = find(page, at)
-        piece = page[at : m.start() if m else length]
+    def say(piece: str) -> None:
+        nonlocal linked
         if piece and not hidden:
             pieces.append(piece)
             if links:
                 linked += len(piece.strip())
-        if m is None:
+
+    tags, go_on = Markup(page).tags(), None
+    while True:
+        try:
+            start, end, tag, ends, attributes = tags.send(go_on)
+        except StopIteration:
             break
-        at = m.end()
-        if m[2] is None:
+        go_on = None
+        say(page[done:start])
+        done = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if ends:
             if tag in INLINE:
                 links -= tag == "a" and links > 0
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag not in INVISIBLE:
-                        flush()
-                    close(i)
-                    break
+            elif deeper.get(tag):
+                deeper[tag] -= 1
+                flush()
+            else:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        if tag not in INVISIBLE:
+                            flush()
+                        close(i)
+                        break
             continue
         if tag in INLINE:
             links += tag == "a"
@@ -123,8 +188,8 @@ def blocks(page: str | None) -> list[Block]:
                 pieces.append(" ")
             continue
         if tag in ("script", "style"):  # their content is no markup
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else length
+            m = _RAW_END[tag].search(page, end)
+            go_on = done = m.end() if m else len(page)
             continue
         if tag not in INVISIBLE:
             flush()
@@ -140,11 +205,14 @@ def blocks(page: str | None) -> list[Block]:
                     close(i)
         elif tag == "body":
             close(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
-        names = _names(m[3]) if m[3] else _NONE
-        stack.append((tag, names))
+        if len(stack) >= DEEPEST and tag not in INVISIBLE:
+            deeper[tag] = deeper.get(tag, 0) + 1
+            continue
+        stack.append((tag, _names(attributes) if attributes else _NONE))
         hidden += tag in INVISIBLE
+    say(page[done:])
     flush()
     return out
 
@@ -167,9 +235,6 @@ def _path_features(path: tuple[tuple[str, frozenset[str]], ...]) -> tuple[str, .
     return tuple(dict.fromkeys(found))
 
 
-_TELLING = re.compile(r"cookie|subscri|newsletter|copyright|©|all rights|privacy|advert|sponsor|anzeige|publicit|log ?in|sign ?up|reply|comment|says:|posted by|search|imprint|accept", re.I)
-
-
 def features(page: list[Block]) -> list[list[str]]:
     n = len(page)
     structured = any(t in ("article", "main") for b in page for t, _ in b.path)
@@ -178,14 +243,13 @@ def features(page: list[Block]) -> list[list[str]]:
     for i, b in enumerate(page):
         text, f = b.text, ["bias", *_path_features(b.path)]
         size = len(text)
-        f.append(f"size:{min(8, size.bit_length() // 1)}")
+        f.append(f"size:{min(8, size.bit_length())}")
         share = b.linked / size
         f.append("links:all" if share > 0.9 else "links:many" if share > 0.4 else "links:some" if share > 0 else "links:none")
         f.append("ends" if text[-1] in ".!?\"”" else "open")
         tags = {t for t, _ in b.path}
         if structured:
             f.append("outside" if not tags & {"article", "main"} else "inside")
-        f += ["told:" + m.lower() for m in set(_TELLING.findall(text[:400]))] if size < 400 else []
         if i == 0:
             f.append("first")
         if i == n - 1:
