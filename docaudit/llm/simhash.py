@@ -4,11 +4,11 @@ Fingerprints (64 bits, majority of the XXH64 bits of word shingles) that differ
 components of links are groups. Only distinct fingerprints are compared. Their bits are cut into `bands`; two linked
 fingerprints agree in at least bands - radius of them, so all fingerprints that agree in some such choice of bands
 meet in one bucket and no link is lost; the number of bands grows with the number of fingerprints so that buckets stay
-small. Within a bucket the fingerprints are sorted by Gray rank and indexed: neighbours form groups, whose shared bits
+small, and the fingerprints of buckets that hold more than HOT (counted first) are filed again by more bands. Within a bucket the fingerprints are sorted by Gray rank and indexed: neighbours form groups, whose shared bits
 (mask and pattern) are factored into their parent node, level over level. A search goes down with the difference
 accumulated so far and drops a whole group once it exceeds the radius. It also drops groups that are wholly in the
-searcher's component already, so a bucket of near copies costs a few searches rather than all pairs, and a bucket
-reports a spanning star for each component rather than its pairs. Components over all buckets come from
+searcher's component already, so a bucket of near copies costs a few searches rather than all pairs. The trees of many
+buckets are built and searched side by side, small buckets no otherwise than large ones; a bucket reports a spanning star for each component rather than its pairs. Components over all buckets come from
 distributed star contraction (graph.py).
 
 Defined results: null or empty text: fingerprint 0, linked like any other. Fewer words than a shingle: the whole word
@@ -29,14 +29,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from docaudit.llm.common import materialise, table
+from docaudit.llm.common import broadcast_within, fresh, materialise, table
 from docaudit.llm.graph import stars
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints that a bucket should hold at most on average; decides the number of bands.
 BUCKET = 2_000
+#: Fingerprints of one bucket beyond which they are filed by more bands, up to radius + MORE of them.
+HOT, MORE = 50_000, 8
 _FAN = 8
-_SMALL = 48
+#: Open nodes of a search that a step should not exceed.
+_FRONT = 1 << 18
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -87,66 +90,89 @@ def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over fingerprints in Gray order. levels[0] are the fingerprints; level k has nodes of _FAN nodes of k-1."""
-
-    def __init__(self, fps: np.ndarray) -> None:
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        masks, patterns = [np.full(len(fps), ~np.uint64(0))], [self.fps]
-        while len(masks[-1]) > _FAN:
-            starts = np.arange(0, len(masks[-1]), _FAN)
-            same = np.bitwise_and.reduceat(masks[-1], starts) & ~(np.bitwise_or.reduceat(patterns[-1], starts) ^ np.bitwise_and.reduceat(patterns[-1], starts))
+    """Trees over the fingerprints of buckets, in Gray order. levels[0] are the fingerprints, bucket by bucket; a node of level k
+    has up to _FAN nodes of level k - 1, all of its bucket. Every bucket has at most _FAN nodes at the top."""
+
+    def __init__(self, fps: np.ndarray, bucket: np.ndarray) -> None:
+        """fps: distinct within each bucket; bucket: the number of each one's bucket."""
+        order = np.lexsort((gray_rank(fps), bucket))
+        self.fps, seg = fps[order], bucket[order]
+        masks, patterns, self.first, self.end = [np.full(len(fps), ~np.uint64(0))], [self.fps], [], [np.arange(1, len(fps) + 1)]
+        while True:
+            head = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+            sizes = np.diff(np.append(head, len(seg)))
+            if sizes.max() <= _FAN:
+                break
+            starts = np.flatnonzero((np.arange(len(seg)) - np.repeat(head, sizes)) % _FAN == 0)
+            both, some = np.bitwise_and.reduceat(patterns[-1], starts), np.bitwise_or.reduceat(patterns[-1], starts)
+            same = np.bitwise_and.reduceat(masks[-1], starts) & ~(some ^ both)
+            self.first.append(starts)
+            self.end.append(self.end[-1][np.append(starts[1:], len(seg)) - 1])
             masks.append(same)
-            patterns.append(patterns[-1][starts] & same)
-        self.masks, self.patterns = masks, patterns
+            patterns.append(both & same)
+            seg = seg[starts]
+        self.top = np.repeat(head, sizes), np.repeat(sizes, sizes)
         # what a node tests beyond the bits that its parent shares
-        self.own = [m & ~np.repeat(up, _FAN)[: len(m)] for m, up in zip(masks, masks[1:], strict=False)] + [masks[-1]]
-
-    def components(self, radius: int, chunk: int = 256) -> np.ndarray:
-        """For each fingerprint (in Gray order) the least position of its component."""
-        n = len(self.fps)
-        labels = np.arange(n)
-        top = len(self.masks) - 1
-        for first in range(0, n, chunk):
-            last = min(n, first + chunk)
-            pure = [labels]
-            for level in range(1, top + 1):
-                starts = np.arange(0, len(self.masks[level - 1]), _FAN)
-                low, high = np.minimum.reduceat(pure[-1], starts), np.maximum.reduceat(pure[-1], starts)
-                mixed = (low != high) | (np.minimum.reduceat(pure[-1], starts) < 0)
-                pure.append(np.where(mixed, -1, low))
-            width = len(self.masks[top])
-            who, node = np.repeat(np.arange(first, last), width), np.tile(np.arange(width), last - first)
-            far = np.zeros(len(who), np.uint8)
-            for level in range(top, -1, -1):
-                reach = _FAN**level
-                live = ((node + 1) * reach > who + 1) & (pure[level][node] != labels[who])
-                who, node, far = who[live], node[live], far[live]
-                far = far + np.bitwise_count((self.fps[who] ^ self.patterns[level][node]) & self.own[level][node])
-                live = far <= radius
-                who, node, far = who[live], node[live], far[live]
-                if level:
-                    below = len(self.masks[level - 1])
-                    who, far = np.repeat(who, _FAN), np.repeat(far, _FAN)
-                    node = (node[:, None] * _FAN + np.arange(_FAN)).ravel()
-                    inside = node < below
-                    who, node, far = who[inside], node[inside], far[inside]
-            labels = _settle(labels, who, node)
+        self.own = [m & ~np.repeat(up, np.diff(np.append(at, len(m)))) for m, up, at in zip(masks, masks[1:], self.first, strict=False)] + [masks[-1]]
+        self.patterns = patterns
+        # the top nodes of each fingerprint's bucket: first and number
+        node = np.arange(len(self.patterns[-1]))
+        leaves = np.diff(np.concatenate([[0], self.end[-1]]))
+        self.roots, self.width = np.repeat(self.top[0][node], leaves), np.repeat(self.top[1][node], leaves)
+
+    def _search(self, first: int, last: int, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Pairs (searcher, found) within the radius, found behind the searcher and outside its component; the widest front."""
+        pure = [labels]
+        for starts in self.first:
+            low, high = np.minimum.reduceat(pure[-1], starts), np.maximum.reduceat(pure[-1], starts)
+            pure.append(np.where((low != high) | (low < 0), -1, low))
+        width = self.width[first:last]
+        who = np.repeat(np.arange(first, last), width)
+        node = np.repeat(self.roots[first:last] - np.cumsum(width) + width, width) + np.arange(len(who))
+        far, widest = np.zeros(len(who), np.uint8), 0
+        for level in range(len(self.first), -1, -1):
+            live = (self.end[level][node] > who + 1) & (pure[level][node] != labels[who])
+            who, node, far = who[live], node[live], far[live]
+            far = far + np.bitwise_count((self.fps[who] ^ self.patterns[level][node]) & self.own[level][node])
+            live = far <= radius
+            who, node, far = who[live], node[live], far[live]
+            widest = max(widest, len(who))
+            if level:
+                starts = self.first[level - 1]
+                n = np.append(starts[1:], len(self.own[level - 1]))[node] - starts[node]
+                at = starts[node]
+                who, far = np.repeat(who, n), np.repeat(far, n)
+                node = np.repeat(at - np.cumsum(n) + n, n) + np.arange(len(who))
+        return who, node, widest
+
+    def components(self, radius: int) -> np.ndarray:
+        """For each fingerprint (in the order of fps) the least position of its component."""
+        labels, first, step = np.arange(len(self.fps)), 0, 64
+        while first < len(labels):
+            last = min(len(labels), first + step)
+            who, found, widest = self._search(first, last, labels, radius)
+            labels = _settle(labels, who, found)
+            first, step = last, min(2 * step, 1 << 14) if widest < _FRONT else max(1, step // 4)
         return labels
 
 
-def link_stars(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct fingerprints -> spanning stars (member, centre) of the components of their links."""
-    if len(fps) <= _SMALL:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-        a, b = np.nonzero(np.triu(near, 1))
-        if not len(a):
-            return fps[:0], fps[:0]
-        ordered, labels = fps, _settle(np.arange(len(fps)), a, b)
-    else:
-        index = GrayIndex(fps)
-        ordered, labels = index.fps, index.components(radius)
-    moved = labels != np.arange(len(labels))
-    return ordered[moved], ordered[labels[moved]]
+def link_stars(fps: np.ndarray, radius: int = RADIUS, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints, distinct within their buckets -> spanning stars (member, centre) of the components of each bucket's links."""
+    if not len(fps):
+        return fps, fps
+    bucket = np.zeros(len(fps), np.int64) if bucket is None else bucket
+    _, bucket, sizes = np.unique(bucket, return_inverse=True, return_counts=True)
+    members, centres = [], []
+    # buckets of equal height stand side by side
+    height = np.ceil(np.log(np.maximum(sizes, 2)) / np.log(_FAN)).astype(int)[bucket]
+    for h in np.unique(height[sizes[bucket] > 1]):
+        here = (height == h) & (sizes[bucket] > 1)
+        index = GrayIndex(fps[here], bucket[here])
+        labels = index.components(radius)
+        moved = labels != np.arange(len(labels))
+        members.append(index.fps[moved])
+        centres.append(index.fps[labels[moved]])
+    return (np.concatenate(members), np.concatenate(centres)) if members else (fps[:0], fps[:0])
 
 
 def band_plan(n: int, radius: int = RADIUS, bucket: int = BUCKET) -> tuple[int, list[tuple[int, ...]]]:
@@ -167,52 +193,53 @@ def bucket_keys(fp: Column, bands: int, choices: list[tuple[int, ...]]) -> Colum
     return F.array(*keys)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Values of each run of equal keys; rows (key, value) come sorted by key."""
-    held: list[np.ndarray] = []
-    key = None
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, values) of many whole groups at a time; rows (key, value) come sorted by key."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
-        keys, values = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(keys):
-            continue
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        for start, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            if keys[start] != key:
-                if held:
-                    yield np.concatenate(held)
-                held, key = [], keys[start]
-            held.append(values[start:end])
-    if held:
-        yield np.concatenate(held)
-
-
-def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """distinct(fp), n rows -> edges(a, b) that span all components of links."""
-    bands, choices = band_plan(n, radius)
-    keyed = distinct.select(F.explode(bucket_keys(F.col("fp"), bands, choices)).alias("key"), "fp")
-
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        size += batch.num_rows
+        if size >= rows:
+            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield keys[:cut], values[:cut]
+            held, size = [(keys[cut:], values[cut:])], len(keys) - cut
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _bucket_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, held = [], [], 0
-        for values in _grouped(batches):
-            if len(values) < 2:
-                continue
-            a, b = link_stars(np.unique(values.view(np.uint64)), radius)
-            if len(a):
-                out_a.append(a)
-                out_b.append(b)
-                held += len(a)
-            if held > 1 << 16:
-                yield _edge_batch(out_a, out_b)
-                out_a, out_b, held = [], [], 0
-        if held:
-            yield _edge_batch(out_a, out_b)
+        for keys, values in _whole_groups(batches):
+            again = keys[1:] == keys[:-1]
+            shared = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+            a, b = link_stars(values[shared].view(np.uint64), radius, keys[shared])
+            for i in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    sorted_keys = keyed.repartition("key").sortWithinPartitions("key")
-    return sorted_keys.mapInArrow(run, "a bigint, b bigint")
+    return run
 
 
-def _edge_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, hot: int | None = None) -> DataFrame:
+    """distinct(fp), n rows -> edges(a, b) that span all components of links."""
+    bands, _ = band_plan(n, radius)
+    edges, limit = None, HOT if hot is None else hot
+    while True:
+        keyed = distinct.select(F.explode(bucket_keys(F.col("fp"), bands, list(combinations(range(bands), bands - radius)))).alias("key"), "fp")
+        again = None
+        if n > limit and bands < radius + MORE:
+            full = materialise(keyed.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-buckets")
+            if full.limit(1).count():
+                full = broadcast_within(full, 1_000_000)
+                again = materialise(keyed.join(full, "key", "left_semi").select("fp").distinct(), "hot-fingerprints")
+                keyed = keyed.join(full, "key", "left_anti")
+        found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius), "a bigint, b bigint")
+        edges = found if edges is None else edges.unionByName(found)
+        if again is None:
+            return edges
+        distinct, n, bands = again, again.count(), bands + 1
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
@@ -232,11 +259,12 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: of each group of found(doc_id, text_key, group) the one with the
     least doc_id (null last, then by a hash of the text); rows repeated with that doc_id and text stay once."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    kept = found.groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key"))
+    an_id, a_key = fresh(docs, "__id"), fresh(docs, "__key")
+    kept = found.groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias(an_id), F.col("kept.text_key").alias(a_key))
     key = F.xxhash64("text")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(an_id)) & (key == F.col(a_key)), "left_semi")
     repeated = found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
-    return out.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key") if repeated else out
+    return out.withColumn(a_key, key).dropDuplicates(["doc_id", a_key]).drop(a_key) if repeated else out
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:

@@ -1,18 +1,22 @@
-"""Near copies by exact Jaccard similarity of word shingles: the rule of the pipeline's stage.
+"""Near copies by Jaccard similarity of word shingles: the SimHash operator's form with a similarity in place of a radius.
 
 Two texts are linked when the sets of their `size`-word shingles (ASCII lower case) have similarity 4/5 or more;
-components of links are groups. No pair is lost and none is estimated:
-
-* Equal sets are one set (64-bit key). Shingles have one global order, those frequent in a sixteenth of the sets last;
-  the order decides cost only. Two linked sets of n shingles or more share one of their first n - ceil(4n/5) + 1, so a
-  set is filed under these, and shingles that only one set is filed under end there.
-* Under each shingle, a pair can only be linked if what follows the shingle in both sets leaves enough overlap.
-* First each shingle's sets are compared with one of them (a hub, another in each round), so a large group of near
-  copies comes together over linearly many comparisons. Then all pairs left in different components are compared.
+components of links are groups. Fingerprints alone cannot decide this (at 64 bits such pairs differ in 5 to 13 bits), so
+the Gray-order index gives the first candidates, a filter that loses no pair gives the others, and the sets decide:
+
+* Equal sets are one set (64-bit key). Fingerprint links (simhash.py) are candidates.
+* Shingles have one global order, those frequent in a sixteenth of the sets last; the order decides cost only. Two linked
+  sets of n shingles or more share one of their first n - ceil(4n/5) + 1, so a set is filed under these. Under each
+  shingle, a pair can only be linked if what follows the shingle in both sets leaves enough overlap.
+* A shingle with few such pairs (PAIRS for each of its sets) has them all compared. A shingle with more of them, or so
+  frequent in the sample that it may have more than BOUND sets, is hot: its sets are first compared with one of them (a hub,
+  another in each round), so a large group of near copies comes together over linearly many comparisons; then those
+  outside the shingle's largest component are compared with all. Hot shingles are never gathered in one task.
 * A comparison counts the common shingles of both sets.
 
 Defined results: null or empty text: the empty set, all linked. Fewer words than a shingle: the whole word sequence is
-the one shingle. Null doc_id and repeated rows as in simhash.py.
+the one shingle. Null doc_id and repeated rows as in simhash.py. Extra columns stay, whatever their names. Empty table:
+empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ from pyspark.sql import functions as F
 from docaudit.llm.bpe import slices
 from docaudit.llm.common import broadcast_within, materialise
 from docaudit.llm.graph import stars
-from docaudit.llm.simhash import keep_first
+from docaudit.llm.simhash import fingerprint, keep_first, links
 from docaudit.llm.substring import Suffixes, _mix, _out, _runs
 
 SIZE = 5
 _PART = 1 << 19
 #: A shingle counts as frequent from so many sets of the sixteenth; at most so many are told to the tasks.
 FREQUENT, TOLD = 4, 200_000
-HUB_ROUNDS = 4
+#: Sets, and candidate pairs for each set, beyond which a shingle is hot; rounds of hubs at most, and pairs of hot shingles
+#: that may be compared without further hubs.
+BOUND, PAIRS, HUB_ROUNDS, FEW = 100_000, 32, 4, 5e6
 _ROWS = "s bigint, key bigint, n bigint, pos bigint"
 
 
@@ -61,8 +67,9 @@ def _marked(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, _PART):
-                _, _, keys, n = shingle_sets(part.column(2), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["doc_id", "text_key", "key", "n"])
+                _, _, keys, _ = shingle_sets(part.column(2), size)
+                fps = np.array([fingerprint(x.as_py(), size) for x in part.column(2)], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "key", "fp"])
 
     return run
 
@@ -80,82 +87,100 @@ def _members(size: int):
     return run
 
 
-def _filed(size: int, frequent: np.ndarray):
-    """The first shingles of each set in the global order, with the set's size and the shingle's position."""
+def _within(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values if len(sorted_) else np.zeros(len(values), bool)
+
+
+def _filed(size: int, frequent: np.ndarray, hot: np.ndarray, want_hot: bool):
+    """The first shingles of each set in the global order (of the hot shingles, or the others), with the set's size and the
+    shingle's position. A task files a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
             for part in slices(batch, 0, _PART):
                 text, shingle, keys, n = shingle_sets(part.column(0), size)
+                new = np.zeros(len(keys), bool)
+                for i, k in enumerate(keys.tolist()):
+                    if k not in known:
+                        known.add(k)
+                        new[i] = True
+                mine = new[text]
+                text, shingle = text[mine], shingle[mine]
                 if not len(text):
                     continue
-                late = np.zeros(len(shingle), bool)
-                if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, shingle), len(frequent) - 1)] == shingle
-                order = np.lexsort((shingle, late, text))
-                pos = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+                start = np.concatenate([[True], text[1:] != text[:-1]])
+                order = np.lexsort((shingle, _within(frequent, shingle), text))
+                pos = np.arange(len(text)) - np.maximum.accumulate(np.where(start, np.arange(len(text)), 0))
                 first = pos < (n - (4 * n + 4) // 5 + 1)[text]
                 text, shingle, pos = text[order][first], shingle[order][first], pos[first]
+                side = _within(hot, shingle) == want_hot
+                text, shingle, pos = text[side], shingle[side], pos[side]
                 yield from _out({"s": shingle, "key": keys[text], "n": n[text].astype(np.int64), "pos": pos.astype(np.int64)})
 
     return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose shingle another row has."""
-    for rows in _runs(batches):
-        s = rows.column(0).to_numpy()
-        equal = s[1:] == s[:-1]
-        yes = np.zeros(len(s), bool)
-        yes[1:] |= equal
-        yes[:-1] |= equal
-        yield from rows.filter(pa.array(yes)).combine_chunks().to_batches()
-
+    """Rows sorted by shingle and set -> those whose shingle another set has, each set once. Rows stream through."""
+    held, kept = None, False  # the last row so far, and whether its shingle was met before it
+    for batch in batches:
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        s, key = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        if not len(s):
+            continue
+        fresh_ = np.concatenate([[True], (s[1:] != s[:-1]) | (key[1:] != key[:-1])])
+        rows = rows.filter(pa.array(fresh_))
+        s = s[fresh_]
+        same = s[1:] == s[:-1]
+        yes = np.concatenate([[kept], same]) | np.concatenate([same, [False]])
+        if len(s) > 1:
+            kept = bool(same[-1])
+            out = rows.slice(0, len(s) - 1).filter(pa.array(yes[:-1]))
+            if out.num_rows:
+                yield out
+        held = rows.slice(len(s) - 1)
+    if held is not None and kept:
+        yield held
 
-def _possible(n: np.ndarray, pos: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs are in different components and may still reach similarity 4/5, this being their first common shingle."""
-    return (root[a] != root[b]) & (9 * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= 4 * (n[a] + n[b]))
 
+def _may_link(n, pos, m, place):
+    """Whether sets of n and m shingles may reach similarity 4/5, if a common shingle at these positions is their first one."""
+    return 9 * np.minimum(n - pos, m - place) >= 4 * (n + m)
 
-def _pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    x, y = key[a], key[b]
-    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    yield from _out({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1])})
 
+def _cold_pairs(per_set: int):
+    """All candidate pairs of the shingles that have few; the shingles that have more, as rows with s alone."""
 
-def _hub_pairs(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            s, key, n, pos, root = (rows.column(i).to_numpy() for i in range(5))
-            order = np.lexsort((_mix(key.view(np.uint64) ^ np.uint64(salt)), s))
-            s, key, n, pos, root = s[order], key[order], n[order], pos[order], root[order]
-            hub = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), np.arange(len(s)), 0))
-            yes = np.flatnonzero(_possible(n, pos, root, hub, np.arange(len(s))))
-            yield from _pairs(key, hub[yes], yes)
+            s, key, n, pos = (rows.column(i).to_numpy() for i in range(4))
+            head = np.concatenate([[True], s[1:] != s[:-1]])
+            group = np.cumsum(head) - 1
+            size = np.bincount(group)
+            end = np.cumsum(size)[group]
+            count = np.zeros(len(size), np.int64)
+            held: list[np.ndarray] = []
+            at, step = np.flatnonzero(end > np.arange(len(s)) + 1), 1
+            while len(at):
+                yes = at[_may_link(n[at], pos[at], n[at + step], pos[at + step])]
+                held.append(np.stack([yes, yes + step]))
+                count += np.bincount(group[yes], minlength=len(size))
+                step += 1
+                at = at[(end[at] > at + step) & (count[group[at]] <= per_set * size[group[at]])]
+            many = count > per_set * size
+            a, b = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+            cold = ~many[group[a]]
+            x, y = key[a[cold]], key[b[cold]]
+            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            hot = s[head][many]
+            none = pa.nulls(len(hot), pa.int64())
+            yield from _out({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1]), "s": pa.nulls(len(found), pa.int64())})
+            yield from _out({"a": none, "b": none, "s": hot})
 
     return run
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _runs(batches):
-        s, key, n, pos, root = (rows.column(i).to_numpy() for i in range(5))
-        ends = np.searchsorted(s, s, side="right")
-        at, step = np.flatnonzero(ends > np.arange(len(s)) + 1), 1
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        while len(at):
-            yes = at[_possible(n, pos, root, at, at + step)]
-            held.append((yes, yes + step))
-            size += len(yes)
-            if size > 1 << 18:
-                yield from _pairs(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-            step += 1
-            at = at[ends[at] > at + step]
-        if size:
-            yield from _pairs(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
-
-
 def _linked(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The pairs of keys whose sets have similarity 4/5 or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct()
@@ -168,34 +193,62 @@ def _linked(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) ->
     return both.where(9 * F.size(F.array_intersect("a_set", "b_set")) >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
+def _between(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Candidate pairs of rows and others (s, key, n, pos, root) that share a hot shingle and are in different components."""
+    o = others.select("s", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "pos", "root")])
+    able = 9 * F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) >= 4 * (F.col("n") + F.col("o_n"))
+    met = rows.join(o, "s").where((F.col("root") != F.col("o_root")) & able)
+    return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, *, size: int = SIZE, bound: int = BOUND, per_set: int = PAIRS, few: float = FEW) -> DataFrame:
     """doc_id, text_key, group (a set's key) for each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_marked(size), "doc_id bigint, text_key bigint, key bigint, n bigint"), "sets")
+    marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_marked(size), "doc_id bigint, text_key bigint, key bigint, fp bigint"), "sets")
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text")
-    members = sample.mapInArrow(_members(size), "key bigint, members array<bigint>")
+    members = sample.mapInArrow(_members(size), "key bigint, members array<bigint>").dropDuplicates(["key"])
     counted = members.select(F.explode("members").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
-    told = counted.orderBy(F.desc("count"), "s").limit(TOLD).select("s").toArrow().column("s").to_numpy()
-    frequent = np.sort(told.astype(np.int64).view(np.uint64))
-    filed = docs.select("text").mapInArrow(_filed(size, frequent), _ROWS).dropDuplicates(["s", "key"])
-    met = materialise(filed.repartition("s").sortWithinPartitions("s").mapInArrow(_met, _ROWS), "met")
-
-    def compared(roots: DataFrame | None, how) -> DataFrame:
-        rows = met.withColumn("root", F.col("key"))
-        if roots is not None:
-            rows = met.join(roots, F.col("key") == F.col("node"), "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-        pairs = rows.repartition("s").sortWithinPartitions("s").mapInArrow(how, "a bigint, b bigint").distinct()
-        return materialise(_linked(docs, marked, materialise(pairs, "pairs"), size), "links")
-
-    edges, roots = None, None
-    for how in [*map(_hub_pairs, range(HUB_ROUNDS)), _all_pairs]:
-        new = compared(roots, how)
-        if not new.limit(1).count():
-            continue
-        edges = new if edges is None else edges.unionByName(new)
-        roots = stars(edges)
-    if roots is None:
-        return marked.select("doc_id", "text_key", F.col("key").alias("group"))
+    told = counted.orderBy(F.desc("count"), "s").limit(TOLD).select("s", "count").toArrow()
+    shingles, often = told.column("s").to_numpy().astype(np.int64).view(np.uint64), told.column("count").to_numpy()
+    frequent, hot = np.sort(shingles), np.sort(shingles[16 * often > bound])
+    filed = lambda want_hot: docs.select("text").mapInArrow(_filed(size, frequent, hot, want_hot), _ROWS)
+    met = materialise(filed(False).repartition("s").sortWithinPartitions("s", "key").mapInArrow(_met, _ROWS), "met")
+
+    # fingerprint links: of the sets of one fingerprint the least stands for all
+    prints = materialise(marked.groupBy("fp").agg(F.min("key").alias("least"), F.max("key").alias("most")), "fingerprints")
+    stands = prints.select("fp", "least")
+    near = links(prints.select("fp"), prints.count()).join(stands.toDF("a", "x"), "a").join(stands.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = marked.join(prints.where("least <> most").select("fp", "least"), "fp").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    first = near.unionByName(same).where("a <> b").distinct()
+
+    found = materialise(met.repartition("s").sortWithinPartitions("s").mapInArrow(_cold_pairs(per_set), "a bigint, b bigint, s bigint"), "pairs")
+    edges = _linked(docs, marked, materialise(found.where("s IS NULL").select("a", "b").unionByName(first).distinct(), "pairs"), size)
+    edges = materialise(edges, "links")
+    roots = stars(edges)
+
+    crowded = found.where("s IS NOT NULL").select("s")
+    rows = met.join(broadcast_within(crowded, 500_000), "s", "left_semi") if crowded.limit(1).count() else None
+    if len(hot):
+        more = filed(True).dropDuplicates(["s", "key"])
+        rows = more if rows is None else rows.unionByName(more)
+    if rows is not None:
+        rows = materialise(rows, "hot-rows")
+        for salt in range(HUB_ROUNDS + 1):
+            placed = rows.join(roots, F.col("key") == F.col("node"), "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
+            largest = placed.groupBy("s", "root").count().groupBy("s").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+            left = largest.agg(F.sum((F.col("all") - F.col("most")).cast("double") * F.col("all"))).first()[0] or 0.0
+            last = salt == HUB_ROUNDS or left <= few
+            if last:
+                pairs = _between(placed.join(largest, "s").where("root <> main"), placed)
+            else:
+                hub = placed.groupBy("s").agg(F.min_by(F.struct("key", "n", "pos", "root"), F.xxhash64("key", F.lit(salt))).alias("h")).select("s", "h.*")
+                pairs = _between(placed, hub)
+            new = materialise(_linked(docs, marked, materialise(pairs, "pairs"), size), "links")
+            if new.limit(1).count():
+                edges = edges.unionByName(new)
+                roots = stars(edges)
+            if last:
+                break
     return marked.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "key").alias("group"))
 
 

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docaudit.llm import similar
@@ -59,6 +60,25 @@ def test_groups_brute_force(spark, seed):
     assert {i: min(g) for g in groups.values() for i in g} == want
 
 
+@pytest.mark.parametrize("options", [{"bound": 0}, {"per_set": 0}, {"bound": 0, "per_set": 0, "few": -1.0}])
+def test_hot_shingles_brute_force(spark, options):
+    """Every frequent shingle hot, every group crowded, and all hub rounds: the same groups."""
+    docs = made(3) + [(1000 + i, f"p{i} " + " ".join(f"w{k}" for k in range(60)) + (f" q{i}" if i % 3 else "")) for i in range(40)]
+    want = brute_groups(docs)
+    groups = {}
+    for r in similar.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), **options).collect():
+        groups.setdefault(r["group"], set()).add(r["doc_id"])
+    assert {i: min(g) for g in groups.values() for i in g} == want
+
+
+def test_edges(spark):
+    rows = [(1, None, 1), (2, "", 2), (None, "a b", 3), (None, "a b", 3), (3, "A  B", 4), (4, "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __id bigint").withColumns({c: F.lit("clash") for c in ("key", "n", "__key", "root")})
+    kept = similar.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    assert similar.keep_one(df.limit(0)).count() == 0
+
+
 def test_stage_brute_force(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     rows = corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
