@@ -23,8 +23,8 @@ collide), so no text comparison follows.
 
 Defined results: null or empty text: no words. Null doc_id: after all others. Rows with the same doc_id and text are one
 document: each gets the same result and does not count as a copy of the other; rows with the same doc_id and other text are
-documents of their own. Extra columns are kept unless they are named n_words, n_removed or kept_text, which the results
-replace. Empty table: empty result.
+documents of their own, told apart by a 64-bit hash of the text. Extra columns are kept, whatever their names, unless they
+are named n_words, n_removed or kept_text, which the results replace. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -45,8 +45,6 @@ WINDOW, GRAM = 20, 8
 #: Occurrences of an anchor beyond which its windows are filed by their labels too.
 BOUND = 20_000
 _LAST = (1 << 63) - 1
-_PLACE = 40  # bits of a position; the bits above tell texts of one doc_id apart
-_TAG = (1 << 20) - 1
 _PART = 1 << 19
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -151,16 +149,16 @@ class Suffixes:
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy(), batch.column(1).to_numpy() << _PLACE
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy()
 
 
 def _later(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys (the last two tell places apart), and which rows in it equal their predecessor but for the place."""
+    """Order by keys (the last three tell places apart), and which rows in it equal their predecessor but for the place."""
     order = np.lexsort(keys[::-1])
     same = np.zeros(len(order), bool)
     if len(order):
         same[1:] = True
-        for k in keys[:-2]:
+        for k in keys[:-3]:
             s = k[order]
             same[1:] &= s[1:] == s[:-1]
     return order, same
@@ -173,7 +171,7 @@ def _out(columns: dict[str, np.ndarray | pa.Array], rows: int = 200_000) -> Iter
 
 
 def _anchor_rows(window: int, gram: int):
-    """Suffix for each anchor: route (group), d, place, known (the anchor was met before in this task), n (how often
+    """Suffix for each anchor: route (group), d, t, place, known (the anchor was met before in this task), n (how often
     this task has the anchor; on the one row that meets its group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,20 +183,20 @@ def _anchor_rows(window: int, gram: int):
                 fresh = np.ones(len(s.at), bool)
                 fresh[1:] = (s.anchor_at[1:] != s.anchor_at[:-1]) | (s.text[1:] != s.text[:-1])
                 text, at = s.text[fresh], s.anchor_at[fresh]
-                d, tag = _keys(part)
-                kept.append((s.anchors[fresh], d[text], tag[text] + at - s.first[text]))
+                d, t = _keys(part)
+                kept.append((s.anchors[fresh], d[text], t[text], at - s.first[text]))
         if kept:
-            anchors, d, place = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order, same = _later(anchors, d, place)
-            anchors, d, place = anchors[order], d[order], place[order]
+            anchors, d, t, place = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order, same = _later(anchors, d, t, place)
+            anchors, d, t, place = anchors[order], d[order], t[order], place[order]
             known = same.copy()
             known[:-1] |= same[1:]
             # those that need not meet their group go anywhere
-            route = np.where(same, _mix(place.view(np.uint64) ^ d.view(np.uint64)), anchors)
+            route = np.where(same, _mix(place.view(np.uint64) ^ _mix(d.view(np.uint64) ^ t.view(np.uint64))), anchors)
             meets = np.flatnonzero(~same)
             n = np.zeros(len(same), np.int64)
             n[meets] = np.diff(np.concatenate([meets, [len(same)]]))
-            yield from _out({"route": route, "d": d, "place": place, "known": known, "n": n})
+            yield from _out({"route": route, "d": d, "t": t, "place": place, "known": known, "n": n})
 
     return run
 
@@ -225,32 +223,31 @@ def _repeated_anchors(bound: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            route, d, place, known, n = (rows.column(i).to_numpy() for i in range(5))
+            route, d, t, place, known, n = (rows.column(i).to_numpy() for i in range(6))
             again = np.zeros(len(route), bool)
             m = np.flatnonzero(n)
             equal = route[m][1:] == route[m][:-1]
             again[m[1:][equal]] = again[m[:-1][equal]] = True
             yes = again | known
             none = pa.nulls(int(yes.sum()), pa.int64())
-            yield from _out({"d": d[yes], "place": place[yes], "hot": none})
+            yield from _out({"d": d[yes], "t": t[yes], "place": place[yes], "hot": none})
             if len(m):
                 starts = np.flatnonzero(np.concatenate([[True], ~equal]))
                 hot = route[m][starts][np.add.reduceat(n[m], starts) > bound]
                 none = pa.nulls(len(hot), pa.int64())
-                yield from _out({"d": none, "place": none, "hot": hot})
+                yield from _out({"d": none, "t": none, "place": none, "hot": hot})
 
     return run
 
 
-def _ranges(d: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
-    """Neighbouring places of one document as (d, tag, start, n)."""
-    order = np.lexsort((place, d))
-    d, place = d[order], place[order]
+def _ranges(d: np.ndarray, t: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """Neighbouring places of one document as (d, t, start, n)."""
+    order = np.lexsort((place, t, d))
+    d, t, place = d[order], t[order], place[order]
     new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (place[1:] != place[:-1] + 1)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
-    n = np.diff(np.concatenate([first, [len(d)]]))
-    return {"d": d[first], "tag": place[first] >> _PLACE, "start": place[first] & ((1 << _PLACE) - 1), "n": n}
+    return {"d": d[first], "t": t[first], "start": place[first], "n": np.diff(np.concatenate([first, [len(d)]]))}
 
 
 def _label_rows(window: int, gram: int, hot: np.ndarray):
@@ -269,33 +266,32 @@ def _label_rows(window: int, gram: int, hot: np.ndarray):
                 wanted[s.first[of] + lists.flatten().to_numpy()] = True
                 here = wanted[s.anchor_at]
                 text, at = s.text[here], s.at[here]
-                d, tag = _keys(part)
-                kept.append((s.anchors[here], s.path(at, window), d[text], tag[text] + at - s.first[text]))
+                d, t = _keys(part)
+                kept.append((s.anchors[here], s.path(at, window), d[text], t[text], at - s.first[text]))
         if not kept:
             return
-        anchors, labels, d, place = (np.concatenate(x) for x in zip(*kept, strict=True))
+        anchors, labels, d, t, place = (np.concatenate(x) for x in zip(*kept, strict=True))
         del kept
-        order, same = _later(anchors, labels, d, place)
+        order, same = _later(anchors, labels, d, t, place)
         # the same place twice is a repeated row, not a repeat
-        anchors, labels, d, place = anchors[order], labels[order], d[order], place[order]
+        anchors, labels, d, t, place = anchors[order], labels[order], d[order], t[order], place[order]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        twin = (d == d[first]) & (place == place[first]) & same
-        gone = same & ~twin
-        found = _ranges(d[gone], place[gone])
+        gone = same & ~((d == d[first]) & (t == t[first]) & (place == place[first]))
+        found = _ranges(d[gone], t[gone], place[gone])
         none = pa.array([None] * len(found["d"]), pa.binary())
         yield from _out({"route": _mix(found["d"].view(np.uint64)), **found, "labels": none})
         rest = ~same
-        anchors, labels, d, place = anchors[rest], labels[rest], d[rest], place[rest]
-        order = np.lexsort((place, d, anchors))
-        anchors, labels, d, place = anchors[order], labels[order], d[order], place[order]
+        anchors, labels, d, t, place = anchors[rest], labels[rest], d[rest], t[rest], place[rest]
+        order = np.lexsort((place, t, d, anchors))
+        anchors, labels, d, t, place = anchors[order], labels[order], d[order], t[order], place[order]
         split = hot[np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)] == anchors if len(hot) else np.zeros(len(d), bool)
         route = np.where(split, _mix(anchors ^ labels), anchors)
         new = np.ones(len(d), bool)
-        new[1:] = (route[1:] != route[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1] + 1)
+        new[1:] = (route[1:] != route[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (place[1:] != place[:-1] + 1)
         first = np.flatnonzero(new)
         bounds = np.concatenate([first, [len(d)]]).astype(np.int64) * 8
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(labels.tobytes())]).cast(pa.binary())
-        yield from _out({"route": route[first], "d": d[first], "tag": place[first] >> _PLACE, "start": place[first] & ((1 << _PLACE) - 1), "n": np.diff(bounds) // 8, "labels": packed})
+        yield from _out({"route": route[first], "d": d[first], "t": t[first], "start": place[first], "n": np.diff(bounds) // 8, "labels": packed})
 
     return run
 
@@ -304,21 +300,21 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Subtrees of the groups: suffixes sorted by label; all but the first of each label are repeats."""
     for rows in _runs(batches):
         found = rows.column("labels").is_valid().to_numpy()
-        ready = rows.filter(pa.array(~found)).select(["d", "tag", "start", "n"])
+        ready = rows.filter(pa.array(~found)).select(["d", "t", "start", "n"])
         if ready.num_rows:
             yield from ready.combine_chunks().to_batches()
         rows = rows.filter(pa.array(found))
         if not rows.num_rows:
             continue
-        route, d, tag, start, n = (rows.column(i).to_numpy() for i in range(5))
+        route, d, t, start, n = (rows.column(i).to_numpy() for i in range(5))
         labels = np.frombuffer(b"".join(rows.column("labels").to_pylist()), np.uint64)
         of = np.repeat(np.arange(len(n)), n)
-        place = (tag << _PLACE)[of] + start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        order, same = _later(route[of], labels, d[of], place)
-        d, place = d[of][order], place[order]
+        place = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        order, same = _later(route[of], labels, d[of], t[of], place)
+        d, t, place = d[of][order], t[of][order], place[order]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        gone = same & ~((d == d[first]) & (place == place[first]))
-        yield from _out(_ranges(d[gone], place[gone]))
+        gone = same & ~((d == d[first]) & (t == t[first]) & (place == place[first]))
+        yield from _out(_ranges(d[gone], t[gone], place[gone]))
 
 
 def _cut(window: int, rest: int):
@@ -363,38 +359,42 @@ def _keep(s: Suffixes, first: int, last: int, gone: np.ndarray) -> str:
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, bound: int = BOUND) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the text without the repeated spans; unchanged where none is)."""
-    rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("__d")
-    tag = F.xxhash64("text").bitwiseAND(F.lit(_TAG)).alias("__tag")
-    texts = docs.select(d, tag, F.col("text"))
-    anchors = texts.mapInArrow(_anchor_rows(window, gram), "route bigint, d bigint, place bigint, known boolean, n bigint")
-    again = anchors.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors(bound), "d bigint, place bigint, hot bigint")
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "text")]
+    inner = [f"c{i}" for i in range(len(names))]  # no name of a column of docs can clash with those below
+    d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
+    hashed = docs.select(d.alias("d"), F.xxhash64("text").alias("h"))
+    mixed = hashed.groupBy("d").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").limit(1).count()
+    # texts of one doc_id have a key of their own; where every doc_id has one text, it would only be carried along
+    t = F.xxhash64("text") if mixed else F.lit(0).cast("bigint")
+    whole = docs.select(d.alias("__d"), t.alias("__t"), F.col("text").alias("text"), *[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)])
+    texts = whole.select("__d", "__t", "text")
+    anchors = texts.mapInArrow(_anchor_rows(window, gram), "route bigint, d bigint, t bigint, place bigint, known boolean, n bigint")
+    again = anchors.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors(bound), "d bigint, t bigint, place bigint, hot bigint")
     again = materialise(again, "anchors")
     # at most one for `bound` suffixes
     hot = again.where("hot IS NOT NULL").select("hot").toArrow().column("hot").to_numpy().astype(np.int64)
     hot = np.sort(hot.view(np.uint64))
     again = again.where("hot IS NULL")
-    low = F.lit((1 << _PLACE) - 1)
-    listed = again.groupBy("d", F.shiftright("place", _PLACE).alias("t")).agg(F.array_distinct(F.collect_list(F.col("place").bitwiseAND(low))).alias("places"))
-    whole = docs.select(*[F.col(f"`{c}`") for c in rest], d, tag)
-    met = whole.join(listed, (whole["__d"] == listed["d"]) & (whole["__tag"] == listed["t"]))
+    listed = again.groupBy(F.col("d").alias("l_d"), F.col("t").alias("l_t")).agg(F.array_distinct(F.collect_list("place")).alias("places"))
+    met = whole.join(listed, (whole["__d"] == listed["l_d"]) & (whole["__t"] == listed["l_t"]))
     # every column comes along, so that both joins shuffle the same table and Spark shuffles it once
-    met = met.select("__d", "__tag", "text", "places", *[F.col(f"`{c}`") for c in rest if c != "text"])
-    labels = met.mapInArrow(_label_rows(window, gram, hot), "route bigint, d bigint, tag bigint, start bigint, n bigint, labels binary")
-    ranges = labels.repartition("route").sortWithinPartitions("route").mapInArrow(_repeats, "d bigint, tag bigint, start bigint, n bigint")
-    spans = ranges.groupBy(F.col("d").alias("s_d"), F.col("tag").alias("s_tag")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    full = whole.join(spans, (whole["__d"] == spans["s_d"]) & (whole["__tag"] == spans["s_tag"]), "left")
-    kept = [c for c in rest if c != "text"]
-    plain = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return full.select(*[F.col(f"`{c}`") for c in kept], "text", "__spans").mapInArrow(_cut(window, len(kept)), plain)
+    met = met.select("__d", "__t", "text", "places", *inner)
+    labels = met.mapInArrow(_label_rows(window, gram, hot), "route bigint, d bigint, t bigint, start bigint, n bigint, labels binary")
+    ranges = labels.repartition("route").sortWithinPartitions("route").mapInArrow(_repeats, "d bigint, t bigint, start bigint, n bigint")
+    spans = ranges.groupBy(F.col("d").alias("s_d"), F.col("t").alias("s_t")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    full = whole.join(spans, (whole["__d"] == spans["s_d"]) & (whole["__t"] == spans["s_t"]), "left")
+    plain = T.StructType([T.StructField(i, docs.schema[c].dataType) for c, i in zip(names, inner, strict=True)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return full.select(*inner, "text", "__spans").mapInArrow(_cut(window, len(inner)), plain).toDF(*names, "n_words", "n_removed", "kept_text")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the repeated spans of their texts; n_chars counts the text that is left. Every row stays."""
+    """docs without the repeated spans of their texts; n_chars counts the text that is left. Every row stays;
+    nulls, repeated rows, empty tables and clashing names as above."""
     names = docs.columns
-    found = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") if c not in ("doc_id", "text") else F.col(c) for i, c in enumerate(names)]))
+    inner = {c: f"c{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
+    found = remove_repeats(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(i) for c, i in inner.items()]))
     new = {"text": F.col("kept_text"), "doc_id": F.col("doc_id"), "n_chars": F.length("kept_text").cast("bigint")}
-    return found.select(*[new.get(c, F.col(f"__c{i}")).alias(c) for i, c in enumerate(names)])
+    return found.select(*[(new[c] if c in new else F.col(inner[c])).alias(c) for c in names])
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

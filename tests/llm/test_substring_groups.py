@@ -55,3 +55,21 @@ def test_counted_anchors_split_by_label():
                 sizes[route] = sizes.get(route, 0) + n
         largest.append(max(sizes.values()))
     assert largest[0] > 100 and largest[1] <= 10 * (WINDOW - GRAM + 1)
+
+
+def test_texts_of_null_and_repeated_ids_stay_apart(spark):
+    """6000 texts without a repeat and without ids: none loses a word."""
+    texts = [" ".join(f"{i}w{k}" for k in range(25)) for i in range(6000)]
+    df = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert substring.remove_repeats(df).where("n_removed > 0").count() == 0
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    same = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, same), (2, "x " + same)], "doc_id bigint, text string").withColumns({c: F.lit(c) for c in ("t", "d", "c0", "c1", "place", "__d", "__t", "__spans", "l_d", "n_chars", "a.b")})
+    for got in (substring.remove_repeats(df), substring.cut_repeats(df)):
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert all(rows[2][c] == c for c in ("t", "d", "c0", "c1", "place", "__d", "__t", "__spans", "l_d", "a.b"))
+    assert rows[2]["text"] == "x" and substring.cut_repeats(df).columns == df.columns
