@@ -6,12 +6,14 @@ word of it, so the window's rarest word is a necessary prefix: only positions th
 word's place in the window gives the one possible start (positional bound), the document's length must hold the
 whole window (length bound), and the candidate is confirmed by comparing the item-sized slice of words exactly.
 
-Only DataFrame functions run, and no document text is shuffled: windows meet the words where these are read, and each
-document sends one marker row besides its hits. Windows and item words are broadcast if their checked number lies within
-`broadcast_rows`; beyond it Spark joins by shuffle, with the same result.
+Only DataFrame functions run. Windows and item words are broadcast if their checked number lies within `broadcast_rows`:
+they meet the words where these are read, no text is shuffled, and each document sends one marker row besides its hits.
+Beyond the bound each word that may be a window's rarest one is shuffled with the words around it (2 * size - 1 at most), so
+the bytes moved grow with the text and no faster; the result is the same. The items of a window stay rows of their own.
 
 Defined results: null or empty text: no words, not contaminated. Null item text or id: no windows. Repeated document rows:
-one result each. Repeated item ids: one item. Extra columns are ignored. Empty benchmark: nothing is hit.
+one result each. Repeated item ids: one item. Extra columns are ignored, and kept by the filter whatever their names. Empty
+benchmark: nothing is hit.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import broadcast_within, lower_ascii, materialise, small, split_words, table
+from docaudit.llm.common import broadcast_within, fresh, lower_ascii, materialise, small, split_words, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WINDOW = 10
@@ -30,11 +32,11 @@ def _words(column: str):
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """window array<string>, items array<bigint>: the distinct windows and the items that have them."""
+    """key (the window's words, joined by spaces), window array<string>, item_id: each window of each item once."""
     worded = benchmark.where("item_id IS NOT NULL").select("item_id", _words("text").alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = worded.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), F.lit(size)).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item_id").alias("items"))
+    return each.select(F.array_join("window", " ").alias("key"), "window", "item_id").distinct()
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -46,35 +48,48 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, broadcast_rows: int) ->
 
 
 def prefix_index(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """word, offset, window, items: each window under its rarest word (ties: the smaller word, then the first place)."""
-    placed = windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
-    ranked = placed.join(counts, "word", "left").groupBy("window").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rarest"), F.first("items").alias("items")
-    )
-    return ranked.select(F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"), "window", "items")
+    """word, offset, window, key: each window under its rarest word (ties: the smaller word, then the first place)."""
+    placed = windows.select("key", F.posexplode("window").alias("offset", "word"))
+    ranked = placed.join(counts, "word", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rarest"))
+    return ranked.select(F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"), F.split("key", " ").alias("window"), "key")
+
+
+def _hits(docs: DataFrame, index: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, text_key, n_words, start, size, key of every window found; and for each document a row of size 0."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.concat(F.array(F.lit("")), _words("text")).alias("w"))
+    n_words = (F.size("w") - 1).alias("n_words")
+    none = [F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("key")]
+    start = F.col("place") - F.col("offset")
+    if small(index, broadcast_rows):
+        # every document has the empty marker word at place 0; no real word is empty
+        marker = F.inline(F.array(F.struct(F.lit("").alias("word"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window"), F.lit("").alias("key"))))
+        known = index.unionByName(docs.sparkSession.range(1).select(marker))
+        placed = texts.select("doc_id", "text_key", "w", F.posexplode("w").alias("place", "word"))
+        found = (start >= 1) & (start + F.size("window") <= F.size("w")) & (F.slice("w", start + 1, F.greatest(F.size("window"), F.lit(1))) == F.col("window"))
+        met = placed.join(F.broadcast(known), "word").where((F.size("window") == 0) | found)
+        return met.select("doc_id", "text_key", n_words, start.alias("start"), F.size("window").alias("size"), "key")
+    placed = texts.select("doc_id", "text_key", "w", F.posexplode("w").alias("place", "word")).where("place > 0")
+    placed = placed.join(broadcast_within(index.select("word").distinct(), broadcast_rows), "word", "left_semi") if small(index.select("word").distinct(), broadcast_rows) else placed
+    low = F.greatest(F.col("place") - (size - 1), F.lit(1))
+    near = placed.select("doc_id", "text_key", n_words, "place", "word", low.alias("low"), F.slice("w", low + 1, F.lit(2 * size - 1)).alias("near"))
+    from_ = start - F.col("low") + 1
+    found = (start >= F.col("low")) & (from_ + F.size("window") - 1 <= F.size("near")) & (F.slice("near", F.greatest(from_, F.lit(1)), F.size("window")) == F.col("window"))
+    met = near.join(index, "word").where(found).select("doc_id", "text_key", "n_words", start.alias("start"), F.size("window").alias("size"), "key")
+    return met.unionByName(texts.select("doc_id", "text_key", n_words, *none))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, broadcast_rows: int = 500_000) -> DataFrame:
     """For each row of docs: doc_id, text_key (a hash of the text), n_words, n_hit, items (sorted strings)."""
     windows = materialise(item_windows(benchmark, size), "item-windows")
+    distinct = windows.select("key", "window").distinct()
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    index = prefix_index(windows, word_counts(docs, vocabulary, broadcast_rows))
-    # every document has the empty marker word at place 0; no real word is empty
-    marker = docs.sparkSession.createDataFrame([("", 0, [], [])], "word string, offset int, window array<string>, items array<bigint>")
-    index = materialise(index.unionByName(marker), "prefix-index")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.concat(F.array(F.lit("")), _words("text")).alias("w"))
-    placed = texts.select("doc_id", "text_key", "w", F.posexplode("w").alias("place", "word"))
-    start = F.col("place") - F.col("offset")
-    met = placed.join(broadcast_within(index, broadcast_rows), "word").where(
-        (F.size("window") == 0)
-        | ((start >= 1) & (start + F.size("window") <= F.size("w")) & (F.slice("w", start + 1, F.greatest(F.size("window"), F.lit(1))) == F.col("window")))
-    )
-    hits = met.select("doc_id", "text_key", start.alias("start"), F.size("window").alias("size"), "items", (F.size("w") - 1).alias("n_words"))
+    index = materialise(prefix_index(distinct, word_counts(docs, vocabulary, broadcast_rows)), "prefix-index")
+    hits = _hits(docs, index, size, broadcast_rows)
     found = hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.count_if(F.col("size") == 0).alias("copies"),
         F.collect_set(F.when(F.col("size") > 0, F.struct("start", "size"))).alias("spans"),
-        F.collect_set(F.when(F.col("size") > 0, F.col("items"))).alias("items"),
+        F.collect_set(F.when(F.col("size") > 0, F.col("key"))).alias("keys"),
     )
     # spans sorted by start: each adds the words beyond the furthest end before it
     furthest = F.aggregate(
@@ -86,15 +101,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW,
         ),
         lambda a: a["n"],
     )
-    items = F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string")))
-    out = found.select("doc_id", "text_key", "n_words", "copies", furthest.cast("long").alias("n_hit"), items.alias("items"))
+    found = materialise(found.select("doc_id", "text_key", "n_words", "copies", furthest.cast("long").alias("n_hit"), "keys"), "hits")
+    names = windows.select(F.col("key").alias("w_key"), F.col("item_id").cast("string").alias("item"))
+    named = found.where("n_hit > 0").select("doc_id", "text_key", "n_words", "copies", "n_hit", F.explode("keys").alias("key"))
+    named = named.join(broadcast_within(names, broadcast_rows), F.col("key") == F.col("w_key")).groupBy("doc_id", "text_key").agg(
+        *[F.max(c).alias(c) for c in ("n_words", "copies", "n_hit")], F.array_sort(F.collect_set("item")).alias("items")
+    )
+    clean = found.where("n_hit = 0").select("doc_id", "text_key", "n_words", "copies", "n_hit", F.array().cast("array<string>").alias("items"))
+    out = clean.unionByName(named)
     return out.select("doc_id", "text_key", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a hit, with their columns."""
-    found = materialise(contamination(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    """The rows of docs without a hit, with their columns. Nulls, repeated rows, empty tables and names as above."""
+    an_id, a_key = fresh(docs, "__id"), fresh(docs, "__key")
+    found = materialise(contamination(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias(an_id), F.col("text_key").alias(a_key)).distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(an_id)) & (F.xxhash64(docs["text"]) == F.col(a_key)), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
