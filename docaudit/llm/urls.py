@@ -39,7 +39,8 @@ def path_of(url: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = PRODUCTION_RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    rows = [F.struct(*[F.lit(x).alias(n) for n, x in zip(("verdict", "host", "path"), r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _digests(rules: DataFrame, prefix_hex: int) -> DataFrame:
