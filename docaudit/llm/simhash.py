@@ -267,9 +267,14 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn(a_key, key).dropDuplicates(["doc_id", a_key]).drop(a_key) if repeated else out
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs that stay: of each SimHash group the first."""
-    return keep_first(docs, materialise(near_duplicates(docs.select("doc_id", "text"), **options), "groups"))
+def keep_one(docs: DataFrame, *, by_similarity: bool = False, **options: int) -> DataFrame:
+    """The rows of docs that stay: of each group the first. Groups are those of near_duplicates, or, by similarity, of texts
+    whose shingle sets have similarity 4/5 or more (similar.py: fingerprint links are its first candidates)."""
+    if by_similarity:
+        from docaudit.llm.similar import near_copies as groups
+    else:
+        groups = near_duplicates
+    return keep_first(docs, materialise(groups(docs.select("doc_id", "text"), **options), "groups"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from docaudit.llm.bpe import slices
 from docaudit.llm.common import broadcast_within, materialise
 from docaudit.llm.graph import stars
-from docaudit.llm.simhash import fingerprint, keep_first, links
+from docaudit.llm.simhash import fingerprint, links
 from docaudit.llm.substring import Suffixes, _mix, _out, _runs
 
 SIZE = 5
@@ -250,8 +250,3 @@ def near_copies(docs: DataFrame, *, size: int = SIZE, bound: int = BOUND, per_se
             if last:
                 break
     return marked.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "key").alias("group"))
-
-
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs that stay, as simhash.keep_one has it."""
-    return keep_first(docs, materialise(near_copies(docs.select("doc_id", "text"), **options), "groups"))

@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docaudit.llm import bpe, graph, html, page_samples, queries, rules, simhash, substring
+from docaudit.llm import bpe, graph, html, page_samples, quality, queries, rules, simhash, substring, toxicity
 from docaudit.llm.labelled import held_out
+from test_similar import brute_groups
 
 SF = "/root/testdata/sf0.001"
 BIGGER = "/root/testdata/sf0.01"
@@ -207,7 +208,7 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in good.collect()}
     assert all(i in kept for i, q in labels.items() if q == 1)
     one = corpus_pipeline.STAGES[1][1](spark, docs, SF)
-    want = set(brute_components({i: brute_fingerprint(t) for i, t in texts.items()}).values())
+    want = set(brute_groups(documents()).values())  # five-word shingles, similarity 0.8
     assert {r["doc_id"] for r in one.collect()} == want and one.columns == columns
     cut = corpus_pipeline.STAGES[2][1](spark, docs, SF)
     rows = {r["doc_id"]: r for r in cut.collect()}
@@ -219,3 +220,171 @@ def test_pipeline_stages(spark):
     library = bpe.Bpe(open(bpe.vocabulary_path(), "rb").read())
     assert all(library.decode(r["ids"]) == texts[r["doc_id"]] for r in encoded)
     assert corpus_pipeline.run(spark, SF).count() <= len(want)
+
+
+def test_pipeline_edges(spark):
+    """Null and empty texts, null ids, repeated rows, clashing names and an empty table through every stage."""
+    docs = spark.createDataFrame(
+        [(1, None, None, None, None), (None, "", "en", "a", 0), (3, "one two three", "en", "a", 13), (3, "one two three", "en", "a", 13), (None, "x y " * 30, "de", "b", 120)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    ).withColumns({c: F.lit("clash") for c in ("__score", "__id", "__key", "__d", "t", "d", "key", "group", "ids")})
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, SF)
+            rows = out.collect()
+            assert len(rows) <= table.count()
+            if name != "bpe_encoding":
+                assert out.columns == docs.columns and all(r["ids"] == "clash" for r in rows)
+
+
+def test_pair_loss_by_hand():
+    """The ranker's weights are where the pairwise logistic loss has its minimum."""
+    r = np.random.default_rng(3)
+    x = np.vstack([r.normal(1, 1, (30, 3)), r.normal(0, 1, (30, 3))])
+    y = np.repeat([1, 0], 30)
+    found = quality.fit(x, y, pairs=4000)
+    g = np.random.default_rng(0)
+    better, worse = g.choice(np.flatnonzero(y == 1), 4000), g.choice(np.flatnonzero(y == 0), 4000)
+    ridge = 1e-3 * 10
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(x[a] - x[b]) @ w)) for a, b in zip(better, worse, strict=True)) + 0.5 * ridge * w @ w
+
+    least = loss(found.weights)
+    for k in range(3):
+        for step in (-0.01, 0.01):
+            assert loss(found.weights + step * np.eye(3)[k]) > least
+    scores = found.scores(x)
+    assert abs((scores < found.threshold).mean() - 0.5) < 0.02  # as large a share as the labels call bad
+
+
+def test_quantile_by_hand():
+    s = np.array([0.9, 0.1, 0.5, 0.7])
+    assert quality.quantile(s, np.ones(4), 0.5) == pytest.approx(0.6) and quality.quantile(s, np.ones(4), 0.0) == 0.0
+
+
+def test_field_by_enumeration():
+    """Viterbi and the training's likelihood against all label sequences of short pages."""
+    from itertools import product
+
+    page = html.blocks("<nav><p>a b</p></nav><article><h1>T</h1><p>One two three.</p><p>x</p></article><footer>f</footer>")
+    r = random.Random(1)
+    for _ in range(20):
+        known = sorted({f for fs in html.features(page) for f in fs})
+        field = html.Field({f: r.gauss(0, 1) for f in known}, ((r.gauss(0, 1), r.gauss(0, 1)), (r.gauss(0, 1), r.gauss(0, 1))), r.gauss(0, 1))
+
+        def value(labels, field=field):
+            s = sum(field.weights[f] for fs, y in zip(html.features(page), labels, strict=True) if y for f in fs)
+            return s + (field.start if labels[0] else 0.0) + sum(field.moves[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+        assert field.decode(page) == list(max(product((0, 1), repeat=len(page)), key=value))
+
+
+def test_training_gradient_by_enumeration():
+    """One long training run ends where the regularised likelihood, by enumeration, has a zero gradient."""
+    from itertools import product
+
+    pages = [(html.blocks(p), y) for p, y in (("<p>a b.</p><div>c</div>", [1, 0]), ("<div>c d</div><p>e.</p><p>f</p>", [0, 1, 1]))]
+    field = html.train(pages, steps=3000, rate=0.02, ridge=0.5)
+
+    def loss(weights, moves, start):
+        total = 0.0
+        for found, gold in pages:
+            feats = html.features(found)
+
+            def value(labels, feats=feats):
+                s = sum(weights[f] for fs, y in zip(feats, labels, strict=True) if y for f in fs) + (start if labels[0] else 0.0)
+                return s + sum(moves[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+            total += np.logaddexp.reduce([value(x) for x in product((0, 1), repeat=len(found))]) - value(gold)
+        square = sum(w * w for w in weights.values()) + sum(m * m for row in moves for m in row) + start * start
+        return total + 0.5 * 0.5 * len(pages) / 10 * square
+
+    least = loss(field.weights, field.moves, field.start)
+    for f in field.weights:
+        for step in (-0.05, 0.05):
+            assert loss({**field.weights, f: field.weights[f] + step}, field.moves, field.start) > least - 1e-6
+    for step in (-0.05, 0.05):
+        assert loss(field.weights, field.moves, field.start + step) > least - 1e-6
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<!x", "<a '\"", "<ul><li>", "</x>"])
+def test_broken_markup_takes_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    html.blocks(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+
+
+def test_kneser_ney_by_hand(spark):
+    """Log ratios of a tiny corpus against the formula written out over dictionaries."""
+    from collections import Counter
+    from math import log
+
+    order, texts = 3, {1: "ab abc", 2: "abd", 3: "bcd ab", 4: "cab xx", 5: "dd"}
+    label = {1: 1, 2: 1, 3: 0, 4: 0}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").select("doc_id", "text")
+    sample = spark.createDataFrame(list(label.items()), "l_id bigint, label int")
+    got = toxicity.ratios(toxicity.gram_counts(docs, sample, order), order).collect()
+
+    def spelled(word):
+        return ["^^" + word + " "][0]
+
+    def word_grams(word):
+        s = spelled(word)
+        return [s[i : i + order] for i in range(len(s) - order + 1)]
+
+    corpus = {g for t in texts.values() for w in t.split() for g in word_grams(w)}
+    below, d = {}, toxicity.DISCOUNT
+    for k in (1, 2):
+        seen = Counter(x[1:] for x in {g[-k - 1 :] for g in corpus})
+        for g, n in seen.items():
+            same = [c for x, c in seen.items() if x[:-1] == g[:-1]]
+            if k == 1:
+                below[g] = max(n - d, 0) / sum(same) + d * len(same) / sum(same) / (len(same) + 1)
+            else:
+                below[g] = (n - d) / sum(same) + d * len(same) / sum(same) * below[g[1:]]
+    own = {c: Counter(g for i, t in texts.items() if label.get(i) == c for w in set(t.split()) for g in word_grams(w)) for c in (0, 1)}
+
+    def chance(c, g):
+        total = sum(n for x, n in own[c].items() if x[:-1] == g[:-1])
+        kinds = sum(1 for x in own[c] if x[:-1] == g[:-1])
+        return (max(own[c][g] - 1, 0) / total + kinds / total * below[g[1:]]) if total else below[g[1:]]
+
+    code = lambda c: 0 if c == " " else toxicity.START if c == "^" else int(toxicity.letter_codes()[ord(c)])
+    pack = lambda g: sum(code(c) << 10 * (len(g) - 1 - i) for i, c in enumerate(g))
+    want = {pack(g): log(chance(1, g) / chance(0, g)) for g in {*own[0], *own[1]}}
+    found = {r["gram"]: r["llr"] for r in got if r["kind"] == 0}
+    assert found.keys() == want.keys() and all(found[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_cutoffs_exist_and_equal_sql(spark):
+    """At sf0.01 the labels certify a cutoff, so the method's verdict decides; the SQL gives the same rows."""
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{BIGGER}/{t}.parquet'")
+    got = sorted(map(tuple, rules.op5_quality_rules(spark, BIGGER).collect()))
+    assert got == sorted(c.sql(rules.SQL).fetchall())
+    assert any(not r[-1] and not r[-2] for r in got)
+
+
+def test_hot_buckets_are_filed_again(spark):
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    fps = {base}
+    while len(fps) < 300:
+        x = r.choice(sorted(fps))
+        for b in r.sample(range(64), r.randrange(1, 7)):
+            x ^= 1 << b
+        fps.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), len(signed), hot=20)
+    root = {r["node"]: r["root"] for r in graph.stars(edges).collect()}
+    groups = {}
+    for x in signed:
+        groups.setdefault(root.get(x, x), set()).add(x % (1 << 64))
+    want = {}
+    for x, y in brute_components({x: x for x in fps}).items():
+        want.setdefault(y, set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))

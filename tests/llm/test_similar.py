@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docaudit.llm import similar
+from docaudit.llm import simhash, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,7 +53,7 @@ def test_groups_brute_force(spark, seed):
     docs = made(seed)
     want = brute_groups(docs)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
-    assert {r["doc_id"] for r in similar.keep_one(df).collect()} == set(want.values())
+    assert {r["doc_id"] for r in simhash.keep_one(df, by_similarity=True).collect()} == set(want.values())
     groups = {}
     for r in similar.near_copies(df).collect():
         groups.setdefault(r["group"], set()).add(r["doc_id"])
@@ -74,9 +74,9 @@ def test_hot_shingles_brute_force(spark, options):
 def test_edges(spark):
     rows = [(1, None, 1), (2, "", 2), (None, "a b", 3), (None, "a b", 3), (3, "A  B", 4), (4, "x", 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, __id bigint").withColumns({c: F.lit("clash") for c in ("key", "n", "__key", "root")})
-    kept = similar.keep_one(df)
+    kept = simhash.keep_one(df, by_similarity=True)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
-    assert similar.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one(df.limit(0), by_similarity=True).count() == 0
 
 
 def test_stage_brute_force(spark):
