@@ -5,13 +5,15 @@ components of links are groups. Fingerprints alone cannot decide this (at 64 bit
 the Gray-order index gives the first candidates, a filter that loses no pair gives the others, and the sets decide:
 
 * Equal sets are one set (64-bit key). Fingerprint links (simhash.py) are candidates.
-* Shingles have one global order, those frequent in a sixteenth of the sets last; the order decides cost only. Two linked
-  sets of n shingles or more share one of their first n - ceil(4n/5) + 1, so a set is filed under these. Under each
-  shingle, a pair can only be linked if what follows the shingle in both sets leaves enough overlap.
+* Shingles have one global order, those frequent in a sixteenth of the sets last; the order decides cost only. A set of n
+  shingles lacks at most n - ceil(4n/5) of them in a linked one, so the first COMMON shingles that two linked sets share lie
+  among the first n - ceil(4n/5) + COMMON of each. A set is filed under these, and a pair that meets less often than COMMON
+  times (than its overlap, if smaller) is no candidate, nor is one whose sizes or positions leave too little overlap.
 * A shingle with few such pairs (PAIRS for each of its sets) has them all compared. A shingle with more of them, or so
   frequent in the sample that it may have more than BOUND sets, is hot: its sets are first compared with one of them (a hub,
   another in each round), so a large group of near copies comes together over linearly many comparisons; then those
-  outside the shingle's largest component are compared with all. Hot shingles are never gathered in one task.
+  outside the shingle's largest component are compared with all, however often they meet. Hot shingles are never gathered in
+  one task.
 * A comparison counts the common shingles of both sets.
 
 Defined results: null or empty text: the empty set, all linked. Fewer words than a shingle: the whole word sequence is
@@ -35,7 +37,7 @@ from docaudit.llm.graph import stars
 from docaudit.llm.simhash import fingerprint, links
 from docaudit.llm.substring import Suffixes, _mix, _out, _runs
 
-SIZE = 5
+SIZE, COMMON = 5, 4
 _PART = 1 << 19
 #: A shingle counts as frequent from so many sets of the sixteenth; at most so many are told to the tasks.
 FREQUENT, TOLD = 4, 200_000
@@ -112,7 +114,7 @@ def _filed(size: int, frequent: np.ndarray, hot: np.ndarray, want_hot: bool):
                 start = np.concatenate([[True], text[1:] != text[:-1]])
                 order = np.lexsort((shingle, _within(frequent, shingle), text))
                 pos = np.arange(len(text)) - np.maximum.accumulate(np.where(start, np.arange(len(text)), 0))
-                first = pos < (n - (4 * n + 4) // 5 + 1)[text]
+                first = pos < (n - (4 * n + 4) // 5 + COMMON)[text]
                 text, shingle, pos = text[order][first], shingle[order][first], pos[first]
                 side = _within(hot, shingle) == want_hot
                 text, shingle, pos = text[side], shingle[side], pos[side]
@@ -145,12 +147,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(n, pos, m, place):
-    """Whether sets of n and m shingles may reach similarity 4/5, if a common shingle at these positions is their first one."""
-    return 9 * np.minimum(n - pos, m - place) >= 4 * (n + m)
+    """Whether sets of n and m shingles that share one at these positions may reach similarity 4/5."""
+    return 9 * (np.minimum(pos, place) + np.minimum(n - pos, m - place)) >= 4 * (n + m)
 
 
 def _cold_pairs(per_set: int):
-    """All candidate pairs of the shingles that have few; the shingles that have more, as rows with s alone."""
+    """All pairs of the shingles that have few, with how often they meet and how often they must; the shingles that have
+    more, as rows with s alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -171,12 +174,15 @@ def _cold_pairs(per_set: int):
             many = count > per_set * size
             a, b = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
             cold = ~many[group[a]]
-            x, y = key[a[cold]], key[b[cold]]
-            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            a, b = a[cold], b[cold]
+            x, y = key[a], key[b]
+            need = np.minimum(COMMON, (4 * np.maximum(n[a], n[b]) + 4) // 5)
+            found, times = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), need], 1), axis=0, return_counts=True)
             hot = s[head][many]
             none = pa.nulls(len(hot), pa.int64())
-            yield from _out({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1]), "s": pa.nulls(len(found), pa.int64())})
-            yield from _out({"a": none, "b": none, "s": hot})
+            low, high, need = (np.ascontiguousarray(found[:, i]) for i in range(3))
+            yield from _out({"a": low, "b": high, "times": times.astype(np.int64), "need": need, "s": pa.nulls(len(found), pa.int64())})
+            yield from _out({"a": none, "b": none, "times": none, "need": none, "s": hot})
 
     return run
 
@@ -196,7 +202,7 @@ def _linked(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) ->
 def _between(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Candidate pairs of rows and others (s, key, n, pos, root) that share a hot shingle and are in different components."""
     o = others.select("s", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "pos", "root")])
-    able = 9 * F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) >= 4 * (F.col("n") + F.col("o_n"))
+    able = 9 * (F.least("pos", "o_pos") + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))) >= 4 * (F.col("n") + F.col("o_n"))
     met = rows.join(o, "s").where((F.col("root") != F.col("o_root")) & able)
     return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
 
@@ -221,8 +227,9 @@ def near_copies(docs: DataFrame, *, size: int = SIZE, bound: int = BOUND, per_se
     same = marked.join(prints.where("least <> most").select("fp", "least"), "fp").select(F.col("least").alias("a"), F.col("key").alias("b"))
     first = near.unionByName(same).where("a <> b").distinct()
 
-    found = materialise(met.repartition("s").sortWithinPartitions("s").mapInArrow(_cold_pairs(per_set), "a bigint, b bigint, s bigint"), "pairs")
-    edges = _linked(docs, marked, materialise(found.where("s IS NULL").select("a", "b").unionByName(first).distinct(), "pairs"), size)
+    found = materialise(met.repartition("s").sortWithinPartitions("s").mapInArrow(_cold_pairs(per_set), "a bigint, b bigint, times bigint, need bigint, s bigint"), "pairs")
+    often = found.where("s IS NULL").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need")
+    edges = _linked(docs, marked, materialise(often.select("a", "b").unionByName(first).distinct(), "pairs"), size)
     edges = materialise(edges, "links")
     roots = stars(edges)
 
