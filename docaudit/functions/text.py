@@ -31,13 +31,18 @@ def text_key(x: Column | str) -> Column:
     return F.regexp_replace(F.translate(fold(x), ACCENTED, PLAIN), r"[^\p{L}\p{N}]", "")
 
 
+def strip(x: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(x: Column | str) -> Column:
     """Trimmed, with every run of white space as one space."""
     return F.trim(F.regexp_replace(_c(x), SPACES, " "))
 
 
 def normal_string(x: Column | str, *, case: bool = True, spaces: bool = True) -> Column:
-    out = squeeze(x) if spaces else F.trim(_c(x))
+    out = squeeze(x) if spaces else strip(x)
     return fold(out) if case else out
 
 
@@ -69,20 +74,19 @@ def character_class(x: Column | str) -> Column:
     x = _c(x)
     letters, digits = x.rlike(r"\p{L}"), x.rlike(r"\p{Nd}")
     return (
-        F.when(F.trim(x) == "", "blank").when(letters & digits, "alphanumeric").when(letters, "alphabetic").when(digits, "numeric").otherwise("symbols")
+        F.when(strip(x) == "", "blank").when(letters & digits, "alphanumeric").when(letters, "alphabetic").when(digits, "numeric").otherwise("symbols")
     )
 
 
 def date_state(x: Column | str) -> Column:
-    """true: a possible day/month/year or year/month/day date; false: the shape of one but impossible; null: no date."""
-    x = F.trim(_c(x))
-    dmy, ymd = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2}|\d{4})$", r"^(\d{4})[./-](\d{1,2})[./-](\d{1,2})$"
-    part = lambda p, i: F.nullif(F.regexp_extract(x, p, i), F.lit("")).cast("int")
-    short = part(dmy, 3)
-    year = F.coalesce(part(ymd, 1), F.when(F.length(F.regexp_extract(x, dmy, 3)) == 2, short + 2000).otherwise(short))
-    month, day = F.coalesce(part(ymd, 2), part(dmy, 2)), F.coalesce(part(ymd, 3), part(dmy, 1))
-    made = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
-    return F.when(x.rlike(dmy) | x.rlike(ymd), made.isNotNull())
+    """true: a possible date; false: the shape of one but impossible; null: no date. A first part of four digits is the year,
+    else the last part is (below 100: of this century)."""
+    x, shape = strip(x), r"^(\d{1,4})[./-](\d{1,2})[./-](\d{1,4})$"
+    first, month, last = (F.nullif(F.regexp_extract(x, shape, i), F.lit("")).cast("int") for i in (1, 2, 3))
+    year_first = F.length(F.regexp_extract(x, shape, 1)) == 4
+    year = F.when(year_first, first).when(last < 100, last + 2000).otherwise(last)
+    made = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, F.when(year_first, last).otherwise(first)), "yyyy-MM-dd")
+    return F.when(x.rlike(shape), (year >= 1) & made.isNotNull())
 
 
 def rarity(count: Column, share: Column) -> Column:
@@ -94,7 +98,7 @@ def digit_runs(x: Column | str) -> Column:
 
 
 def strip_thinking(x: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_c(x), r"(?s)<think>.*?</think>\s*", ""))
+    return strip(F.regexp_replace(_c(x), r"(?s)<think>.*?</think>\s*", ""))
 
 
 def strip_dpi(stem: Column | str) -> Column:
@@ -109,7 +113,7 @@ def location_parts(x: Column | str) -> Column:
     """struct<city, suffix> of `CITY` or `CITY, suffix`; a blank side: null."""
     x = _c(x)
     both = F.split(x, ",", 2)
-    city, suffix = F.trim(F.get(both, F.lit(0))), F.trim(F.get(both, F.lit(1)))
+    city, suffix = strip(F.get(both, F.lit(0))), strip(F.get(both, F.lit(1)))
     return F.when((city != "") & (F.coalesce(suffix, F.lit("x")) != ""), F.struct(city.alias("city"), suffix.alias("suffix")))
 
 

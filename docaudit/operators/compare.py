@@ -27,7 +27,7 @@ def leaf_pairs(pairs: DataFrame, keep: list[str], truth: str = "truth", predicti
 
 
 def _is_empty(kind: Column, value: Column) -> Column:
-    return kind.isNull() | (kind == "null") | ((kind == "string") & (F.trim(value) == ""))
+    return kind.isNull() | (kind == "null") | ((kind == "string") & (X.strip(value) == ""))
 
 
 def with_outcomes(leaves: DataFrame, *, case: bool = True) -> DataFrame:

@@ -33,8 +33,11 @@ def suffix_aliases(suffixes: DataFrame, *, contained: int = 6, rounds: int = 30)
         if not new.where("moved").limit(1).count():
             break
         label = new.select("key", "root")
-    capital = F.initcap(F.col("suffix")) == F.col("suffix")
-    quality = F.struct(F.col("n"), capital.cast("int"), (F.upper("suffix") != F.col("suffix")).cast("int"), F.length("suffix"), "suffix")
+    name = X.strip("suffix")
+    shouted = name.rlike(r"\p{Lu}") & ~name.rlike(r"\p{Ll}")
+    odd = F.length(F.regexp_replace(name, r"(?U)[\w\s.-]", ""))
+    # the most frequent, then the best written: capital first, not all capitals, few odd characters, short
+    quality = F.struct(F.col("n"), name.rlike(r"^\p{Lu}").cast("int"), (~shouted).cast("int"), -odd, -F.length(name), "suffix")
     known = s.join(label.select(F.col("key").alias("l_key"), "root"), F.col("key") == F.col("l_key"))
     best = known.groupBy(F.col("root").alias("b_root")).agg(F.max_by("suffix", quality).alias("canonical"))
     return known.join(best, F.col("root") == F.col("b_root")).select("suffix", "canonical")

@@ -22,20 +22,20 @@ def _issues(df: DataFrame, keys: Sequence[str], path: str, rules: list) -> DataF
 def string_issues(df: DataFrame, keys: Sequence[str], path: str, value: str) -> DataFrame:
     """keys, path, code, severity. A blank string has no other issue."""
     v, p = F.col(value), F.lower(path)
-    filled = F.trim(v) != ""
+    filled = X.strip(v) != ""
     state = X.date_state(v)
     dated = p.contains("date") | p.endswith(".data")
     digits = F.length(F.regexp_replace(v, r"\D", ""))
     return _issues(df, keys, path, [
         ("blank_string", 42, ~filled),
-        ("null_literal", 55, F.lower(F.trim(v)).isin(*NULL_WORDS)),
+        ("null_literal", 55, F.lower(X.strip(v)).isin(*NULL_WORDS)),
         ("invalid_postcode", 68, filled & p.contains("postcode") & (digits == 0)),
         ("unusual_postcode_length", 52, filled & p.contains("postcode") & (F.length(v) > 14)),
         ("invalid_city", 72, filled & p.endswith("city") & v.rlike(r"(?U)^[\d\W_]+$")),
         ("invalid_phone", 50, filled & p.contains("phone") & (digits < 5)),
         ("impossible_date", 76, filled & dated & ~F.coalesce(state, F.lit(True))),
         ("unusual_date_format", 28, filled & dated & state.isNull() & v.rlike(r"\d")),
-        ("surrounding_whitespace", 32, filled & (F.trim(v) != v)),
+        ("surrounding_whitespace", 32, filled & (X.strip(v) != v)),
     ])
 
 

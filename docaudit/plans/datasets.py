@@ -54,7 +54,7 @@ def location_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT DISTINCT a.key AS a, b.key AS b FROM s a JOIN s b ON a.key <> b.key AND ((contains(a.key, b.key) AND length(b.key) >= 6) OR (contains(b.key, a.key) AND length(a.key) >= 6))),
 reach(a, b) AS (SELECT key, key FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), root AS (SELECT a AS key, min(b) AS root FROM reach GROUP BY a),
 k AS (SELECT suffix, n, root FROM s JOIN root USING (key))
-SELECT suffix, first_value(suffix) OVER (PARTITION BY root ORDER BY n DESC, (upper(left(suffix, 1)) || lower(substr(suffix, 2)) = suffix) DESC, (upper(suffix) <> suffix) DESC, length(suffix) DESC, suffix DESC) AS canonical FROM k""")
+SELECT suffix, first_value(suffix) OVER (PARTITION BY root ORDER BY n DESC, regexp_matches(suffix, '^\p{{Lu}}') DESC, (NOT (regexp_matches(suffix, '\p{{Lu}}') AND NOT regexp_matches(suffix, '\p{{Ll}}'))) DESC, length(regexp_replace(suffix, '[\w\s.-]', '', 'g')), length(suffix), suffix DESC) AS canonical FROM k""")
 def suffix_alias_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.suffix_aliases(L.completed(_places(spark, sf_dir)).groupBy("suffix").agg(F.count(F.lit(1)).alias("n")))
 
@@ -67,7 +67,7 @@ def changes_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- files and splits ------------------------------------------------------------------------------------------------
 
-FILES_SQL = """img AS (SELECT source AS dir, 'scan' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 6 = 4 THEN '_360dpi' ELSE '' END AS stem FROM documents WHERE doc_id % 8 <> 7),
+FILES_SQL = """img AS (SELECT source AS dir, CASE WHEN doc_id % 8 = 7 THEN 'photo' || CAST(doc_id AS VARCHAR) ELSE 'scan' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 6 = 4 THEN '_360dpi' ELSE '' END END AS stem FROM documents),
 ann AS (SELECT source AS dir, CASE doc_id % 6 WHEN 0 THEN 'scan' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'scan' || CAST(doc_id AS VARCHAR) || '_0' WHEN 2 THEN 'scan' || CAST(doc_id AS VARCHAR) || '_page_2' WHEN 3 THEN 'gt_scan' || CAST(doc_id AS VARCHAR) WHEN 4 THEN 'scan' || CAST(doc_id AS VARCHAR) ELSE 'other' || CAST(doc_id AS VARCHAR) END AS stem, doc_id % 6 IN (3, 4) AS truths FROM documents),
 cand AS (
   SELECT i.dir, i.stem, a.stem AS annotation, a.truths, CASE WHEN NOT truths AND a.stem = i.stem THEN 1 WHEN NOT truths AND a.stem = i.stem || '_0' THEN 2 WHEN NOT truths AND starts_with(a.stem, i.stem || '_') THEN 3
@@ -80,7 +80,8 @@ def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     k = F.col("doc_id")
     scan = F.concat(F.lit("scan"), k.cast("string"))
-    images = docs.where(k % 8 != 7).select(F.col("source").alias("dir"), F.concat(scan, F.when(k % 6 == 4, "_360dpi").otherwise("")).alias("stem"))
+    image = F.when(k % 8 == 7, F.concat(F.lit("photo"), k.cast("string"))).otherwise(F.concat(scan, F.when(k % 6 == 4, "_360dpi").otherwise("")))
+    images = docs.select(F.col("source").alias("dir"), image.alias("stem"))
     name = F.when(k % 6 == 0, scan).when(k % 6 == 1, F.concat(scan, F.lit("_0"))).when(k % 6 == 2, F.concat(scan, F.lit("_page_2"))).when(k % 6 == 3, F.concat(F.lit("gt_"), scan)).when(k % 6 == 4, scan).otherwise(F.concat(F.lit("other"), k.cast("string")))
     return images, docs.select(F.col("source").alias("dir"), name.alias("stem"), (k % 6).isin(3, 4).alias("truths"))
 
@@ -167,13 +168,13 @@ def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.groupBy("metric").agg(F.count(F.lit(1)).alias("points"), F.min_by("value", "ordinal").alias("first_value"), F.max_by("value", "ordinal").alias("last_value"), F.min("value").alias("best_value"), F.min_by("step", F.struct("value", "ordinal")).alias("best_step"))
 
 
-CHECKPOINT_SQL = "c AS (SELECT event_type AS run, event_id AS step, value AS loss FROM events WHERE event_id % 50 = 0)"
+CHECKPOINT_SQL = "c AS (SELECT event_type AS run, event_id AS step, value AS loss FROM events)"
 
 
-@query("checkpoint_retention", f"""WITH {CHECKPOINT_SQL}, k AS (SELECT run, arg_min(step, loss) AS best, max(step) AS last FROM c GROUP BY run) SELECT c.run, c.step FROM c JOIN k USING (run) WHERE step <> best AND step <> last""")
+@query("checkpoint_retention", f"""WITH {CHECKPOINT_SQL}, k AS (SELECT run, first(step ORDER BY loss, step) AS best, max(step) AS last FROM c GROUP BY run) SELECT c.run, c.step FROM c JOIN k USING (run) WHERE step <> best AND step <> last""")
 def checkpoint_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpoints to delete: all but the best and the last of each run."""
-    c = table(spark, sf_dir, "events").where("event_id % 50 = 0").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    c = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
     keep = c.groupBy(F.col("run").alias("k_run")).agg(F.array(F.min_by("step", F.struct("loss", "step")), F.max("step")).alias("keep"))
     return c.join(keep, F.col("run") == F.col("k_run")).where(~F.array_contains("keep", F.col("step"))).select("run", "step")
 
@@ -185,10 +186,11 @@ def step_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("steps", steps).withColumn("warmup", F.greatest(F.lit(1), F.bround(F.col("steps") * 0.01)).cast("bigint"))
 
 
-@query("metric_rename", f"WITH {HISTORY_SQL} SELECT ordinal, 'train_' || metric AS name, value FROM h WHERE value IS NOT NULL AND ordinal % 3 = 0 UNION ALL SELECT ordinal, 'eval_' || metric, value FROM h WHERE value IS NOT NULL AND ordinal % 3 = 1")
+@query("metric_rename", f"WITH {HISTORY_SQL} SELECT ordinal, 'train_' || metric AS name, value FROM h WHERE value IS NOT NULL AND ordinal % 3 = 0 UNION ALL SELECT ordinal, 'eval_' || metric, value FROM h WHERE value IS NOT NULL AND ordinal % 3 = 1 UNION ALL SELECT ordinal, metric, value FROM h WHERE value IS NOT NULL AND ordinal % 3 = 2")
 def metric_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = F.when(F.col("ordinal") % 3 == 0, "train_").when(F.col("ordinal") % 3 == 1, "eval_")
-    return _history(spark, sf_dir).where("value IS NOT NULL").select("ordinal", F.concat(stage, "metric").alias("name"), "value").where("name IS NOT NULL")
+    """Scalars under the name of their stage; those of no stage keep their own."""
+    stage = F.when(F.col("ordinal") % 3 == 0, "train_").when(F.col("ordinal") % 3 == 1, "eval_").otherwise("")
+    return _history(spark, sf_dir).where("value IS NOT NULL").select("ordinal", F.concat(stage, "metric").alias("name"), "value")
 
 
 # ---- chat and text ---------------------------------------------------------------------------------------------------
@@ -224,11 +226,11 @@ def html_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.clean_text("html")).alias("clean_md5"))
 
 
-GENERATED_SQL = """g AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN '<think>' || left(text, 20) || '</think>' || chr(10) ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN 'Sure: {"turn":' || CAST(turn AS VARCHAR) || '} done' WHEN conv_id % 3 = 1 THEN '{"a":{"b":"}"}}' ELSE 'no object' END AS generated FROM conversations)"""
+GENERATED_SQL = """g AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN '<think>' || coalesce(text, '') || '</think>' || chr(10) ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN 'Sure: {"turn":' || CAST(turn AS VARCHAR) || '} done' WHEN conv_id % 3 = 1 THEN '{"a":{"b":"}"}}' ELSE 'no object' END AS generated FROM conversations)"""
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    think = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think>\n"))).otherwise("")
+    think = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("<think>"), F.coalesce("text", F.lit("")), F.lit("</think>\n"))).otherwise("")
     body = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('Sure: {"turn":'), F.col("turn").cast("string"), F.lit("} done"))).when(F.col("conv_id") % 3 == 1, '{"a":{"b":"}"}}').otherwise("no object")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(think, body).alias("generated"))
 

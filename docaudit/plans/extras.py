@@ -70,7 +70,7 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("prediction_metadata_join", """WITH meta AS (SELECT doc_id, source AS split, 'img' || CAST(doc_id % 900 AS VARCHAR) AS stem, row_number() OVER (PARTITION BY source, doc_id % 900 ORDER BY doc_id) AS nth FROM documents),
-pred AS (SELECT doc_id AS p_id, source AS split, 'img' || CAST(doc_id % 700 AS VARCHAR) AS stem FROM documents WHERE doc_id % 2 = 0)
+pred AS (SELECT doc_id AS p_id, source AS split, CASE WHEN doc_id % 5 = 0 THEN 'lost' ELSE 'img' END || CAST(doc_id % 700 AS VARCHAR) AS stem FROM documents)
 SELECT p_id, split, stem, doc_id, CASE WHEN doc_id IS NULL THEN 'no metadata' END AS warning FROM pred LEFT JOIN (SELECT * FROM meta WHERE nth = 1) m USING (split, stem)""")
 def prediction_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.operators.datasets import first_wins
@@ -78,7 +78,8 @@ def prediction_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     stem = lambda n: F.concat(F.lit("img"), (F.col("doc_id") % n).cast("string")).alias("stem")
     meta = first_wins(docs.select(F.col("source").alias("split"), stem(900), "doc_id"), ["split", "stem"], ["doc_id"])
-    pred = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("p_id"), F.col("source").alias("split"), stem(700))
+    lost = F.concat(F.when(F.col("doc_id") % 5 == 0, "lost").otherwise("img"), (F.col("doc_id") % 700).cast("string")).alias("stem")
+    pred = docs.select(F.col("doc_id").alias("p_id"), F.col("source").alias("split"), lost)
     return pred.join(meta, ["split", "stem"], "left").select("p_id", "split", "stem", "doc_id", F.when(F.col("doc_id").isNull(), "no metadata").alias("warning"))
 
 

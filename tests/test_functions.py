@@ -86,3 +86,14 @@ def test_repair_fill_tokens(spark):
     assert S.tokens({"b": None, "a": [True, "x"], "z": 1}, {"z": 0, "a": []}) == "<s_z>1</s_z><s_a>true<sep/>x</s_a><s_b><null/></s_b>"
     got = spark.createDataFrame([('{"a": "x"}',), ("{",)], "j string").select(S.validate("j", SCHEMA).alias("e")).collect()
     assert [r["e"] for r in got] == [["$.a: expected integer/null, got string"], None]
+
+
+def test_blank_dates_and_containers(spark):
+    from docaudit.functions import text as X
+
+    df = spark.createDataFrame([("\t",), ("1.2.202",), ("123.1.2020",), ("2020-2-29",), ("29.2.21",), ("x",), ("\n a \u00a0",)], "v string")
+    got = [tuple(r) for r in df.select(X.date_state("v"), X.strip("v")).collect()]
+    assert [g[0] for g in got] == [None, True, False, True, False, None, None] and got[0][1] == "" and got[6][1] == "a"
+    assert S.filled({"a": 1, "b": [{"c": 1}]}, {"a": {"x": 1}, "b": [{"c": [2]}, 5]}) == {"a": {"x": 1}, "b": [{"c": [2]}, {"c": None}]}
+    assert S.errors("x", {"type": "integer", "enum": [1]}, {}) == ["$: expected integer, got string"]
+    assert first_object('{"q') is None and first_object('x {"b": "\\"}"} c') == '{"b": "\\"}"}'

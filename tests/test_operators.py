@@ -20,18 +20,18 @@ def test_typed_values(spark):
 
 
 def test_distribution(spark):
-    data = leaves(spark, [("string", "Hello")] * 59 + [("string", "Helo"), ("string", "12345"), ("integer", "12345")])
+    data = leaves(spark, [("string", "Granite")] * 70 + [("string", "Granit"), ("string", "908"), ("integer", "908")])
     values = data.where("jtype = 'string'").groupBy(F.col("path").alias("field"), "value").agg(F.count(F.lit(1)).alias("n"))
-    assert [(r["value"], r["suggested"], r["distance"]) for r in P.typo_candidates(values).collect()] == [("Helo", "Hello", 1)]
-    assert {r["value"] for r in P.rare_values(data).collect()} == {"Helo", "12345"}
+    assert [(r["value"], r["suggested"], r["distance"]) for r in P.typo_candidates(values).collect()] == [("Granit", "Granite", 1)]
+    assert {r["value"] for r in P.rare_values(data).collect()} == {"Granit", "908"}
     assert [r["c"] for r in P.minority(data.withColumnRenamed("jtype", "c"), "path", "c").collect()] == ["integer"]
 
 
 def test_fd_rules(spark):
-    rows = [("postcode->city", "12345", c, i) for i, c in enumerate(["Berlin", "Berlin", "Munich", "Berlin"])]
+    rows = [("berth->pier", "N4", c, i) for i, c in enumerate(["north", "north", "south", "north"])]
     pairs = spark.createDataFrame(rows, "relation string, anchor string, dependent string, ordinal long")
     rules = P.learn_rules(pairs, support=3, confidence=0.7)
-    assert [(r["dependent"], r["support"], r["confidence"]) for r in rules.collect()] == [("Berlin", 4, 0.75)]
+    assert [(r["dependent"], r["support"], r["confidence"]) for r in rules.collect()] == [("north", 4, 0.75)]
     assert [r["ordinal"] for r in P.rule_exceptions(pairs, rules).collect()] == [2]
 
 
