@@ -43,7 +43,7 @@ _PART = 1 << 19
 FREQUENT, TOLD = 4, 200_000
 #: Sets, and candidate pairs for each set, beyond which a shingle is hot; rounds of hubs at most, and pairs of hot shingles
 #: that may be compared without further hubs.
-BOUND, PAIRS, HUB_ROUNDS, FEW = 100_000, 32, 4, 5e6
+BOUND, PAIRS, HUB_ROUNDS, FEW = 100_000, 32, 4, 3e7
 _ROWS = "s bigint, key bigint, n bigint, pos bigint"
 
 
