@@ -14,6 +14,8 @@ the Gray-order index gives the first candidates, a filter that loses no pair giv
   another in each round), so a large group of near copies comes together over linearly many comparisons; then those
   outside the shingle's largest component are compared with all, however often they meet. Hot shingles are never gathered in
   one task.
+* Each set has a sketch: the counts of its shingles over 2^k cells, k by its size. The cells' least counts add up to at
+  least the common shingles, so a pair whose sketches leave too little overlap is dropped before its texts are read again.
 * A comparison counts the common shingles of both sets.
 
 Defined results: null or empty text: the empty set, all linked. Fewer words than a shingle: the whole word sequence is
@@ -65,13 +67,43 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, n
     return text, shingle, keys, np.bincount(text, minlength=len(counts))
 
 
+def sketches(text: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> pa.Array:
+    """One byte for each cell: how many shingles of the set fall into it. Two to four shingles a cell on average; null for a
+    set with 255 or more in one cell."""
+    cells = 1 << np.maximum(np.frexp(n.astype(np.float64))[1].astype(np.int64) - 2, 0)
+    first = np.concatenate([[0], np.cumsum(cells)])
+    at = first[text] + (_mix(shingle) & (cells[text] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(at, minlength=first[-1])
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(np.minimum(counts, 255).astype(np.uint8))])
+    over = np.maximum.reduceat(counts, first[:-1]) > 254 if len(n) else np.zeros(0, bool)
+    return pa.compute.if_else(pa.array(over), pa.scalar(None, pa.binary()), found)
+
+
+def _folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    return counts.reshape(-1, cells).sum(axis=0, dtype=np.int64)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, sketch of a, sketch of b) -> a, b of those that may have similarity 4/5."""
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].as_buffer() for c in (2, 3))
+            if x is not None and y is not None:
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                cells = min(len(x), len(y))
+                x, y = _folded(x, cells), _folded(y, cells)
+                keep[i] = 9 * np.minimum(x, y).sum() >= 4 * (x.sum() + y.sum())
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
 def _marked(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, _PART):
-                _, _, keys, _ = shingle_sets(part.column(2), size)
+                text, shingle, keys, n = shingle_sets(part.column(2), size)
                 fps = np.array([fingerprint(x.as_py(), size) for x in part.column(2)], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64)), sketches(text, shingle, n)], names=["doc_id", "text_key", "key", "fp", "sketch"])
 
     return run
 
@@ -189,9 +221,15 @@ def _cold_pairs(per_set: int):
 
 def _linked(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The pairs of keys whose sets have similarity 4/5 or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct()
-    texts = marked.join(broadcast_within(wanted, 500_000), F.col("key") == F.col("w_key")).groupBy("key").agg(F.min("text_key").alias("w_text"))
-    texts = materialise(texts.select("w_text"), "compared-texts")
+    wanted = broadcast_within(pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct(), 500_000)
+    known = marked.join(wanted, F.col("key") == F.col("w_key")).groupBy("key").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch"))
+    known = materialise(known, "sketches")
+    one, two = (known.select(F.col("key").alias(f"{x}_key"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("a_key")).join(two, F.col("b") == F.col("b_key"))
+    pairs = materialise(both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_possible, "a bigint, b bigint"), "possible-pairs")
+    left = pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct()
+    texts = known.join(left, F.col("key") == F.col("w_key"), "left_semi").select(F.col("text_key").alias("w_text")).distinct()
+    texts = materialise(texts, "compared-texts")
     found = docs.join(broadcast_within(texts, 500_000), F.xxhash64("text") == F.col("w_text"), "left_semi").select("text")
     sets = materialise(found.mapInArrow(_members(size), "key bigint, members array<bigint>").dropDuplicates(["key"]), "compared-sets")
     one, two = (sets.select(F.col("key").alias(f"{x}_key"), F.col("members").alias(f"{x}_set")) for x in "ab")
@@ -210,7 +248,7 @@ def _between(rows: DataFrame, others: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, *, size: int = SIZE, bound: int = BOUND, per_set: int = PAIRS, few: float = FEW) -> DataFrame:
     """doc_id, text_key, group (a set's key) for each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_marked(size), "doc_id bigint, text_key bigint, key bigint, fp bigint"), "sets")
+    marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_marked(size), "doc_id bigint, text_key bigint, key bigint, fp bigint, sketch binary"), "sets")
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text")
     members = sample.mapInArrow(_members(size), "key bigint, members array<bigint>").dropDuplicates(["key"])
     counted = members.select(F.explode("members").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)

@@ -3,6 +3,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,31 @@ def test_stage_brute_force(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     rows = corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
     assert {r["doc_id"] for r in rows} == set(brute_groups(docs).values())
+
+
+def test_sketches_bound_the_overlap():
+    """Cells' least counts never fall below the common shingles; unlike sets of one size are told apart."""
+    r = random.Random(5)
+    texts = ["", "one two"]
+    for n in (5, 40, 300, 5000):
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(words), " ".join(words[: n * 9 // 10] + [f"x{k}" for k in range(n // 10)]), " ".join(f"y{k}" for k in range(n))]
+    text, shingle, _, n = similar.shingle_sets(pa.array(texts), 5)
+    found = [np.frombuffer(x.as_buffer(), np.uint8) for x in similar.sketches(text, shingle, n)]
+    assert [int(x.sum()) for x in found] == n.tolist()
+    sets = [set(shingle[text == i].tolist()) for i in range(len(texts))]
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            cells = min(len(a), len(b))
+            least = int(np.minimum(similar._folded(a, cells), similar._folded(b, cells)).sum())
+            assert least >= len(sets[i] & sets[j])
+            if i != j and n[i] == n[j] > 200 and not sets[i] & sets[j]:
+                assert 9 * least < 4 * (n[i] + n[j])
+
+
+def test_full_cell_gives_no_sketch():
+    same = np.zeros(300, np.uint64)  # one hash three hundred times
+    assert similar.sketches(np.zeros(300, np.int64), same, np.array([300])).to_pylist() == [None]
+    assert similar.sketches(np.zeros(0, np.int64), same[:0], np.zeros(0, np.int64)).to_pylist() == []
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 3]), pa.array([2, 4]), pa.array([None, b"\1"]), pa.array([b"\1", b"\7"])], names=["a", "b", "x", "y"])
+    assert [x.to_pydict() for x in similar._possible(iter([rows]))] == [{"a": [1], "b": [2]}]
