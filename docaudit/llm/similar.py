@@ -10,10 +10,12 @@ the Gray-order index gives the first candidates, a filter that loses no pair giv
   among the first n - ceil(4n/5) + COMMON of each. A set is filed under these, and a pair that meets less often than COMMON
   times (than its overlap, if smaller) is no candidate, nor is one whose sizes or positions leave too little overlap.
 * A shingle with few such pairs (PAIRS for each of its sets) has them all compared. A shingle with more of them, or so
-  frequent in the sample that it may have more than BOUND sets, is hot: its sets are first compared with one of them (a hub,
-  another in each round), so a large group of near copies comes together over linearly many comparisons; then those
-  outside the shingle's largest component are compared with all, however often they meet. Hot shingles are never gathered in
-  one task.
+  frequent in the sample that it may have more than BOUND sets, is hot: while the sets outside the shingles' largest
+  components have more than FEW partners, the sets are first compared with one of each shingle (a hub, another in each
+  round). Then all sets of hot shingles that have one hub form a class, whose sets that are not in one component yet are
+  compared, however often they meet. A class beyond BLOCK sets (MEMBERS shingles) is dealt in pairs of blocks, none
+  gathered in one task. A task settles its components as it goes, so a group of near copies costs a few searches rather
+  than all pairs, and reports a spanning star for each component, never pairs.
 * Each set has a sketch: the counts of its shingles over 2^k cells, k by its size. The cells' least counts add up to at
   least the common shingles, so a pair whose sketches leave too little overlap is dropped before its texts are read again.
 * A comparison counts the common shingles of both sets.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from docaudit.llm.bpe import slices
 from docaudit.llm.common import broadcast_within, materialise
 from docaudit.llm.graph import stars
-from docaudit.llm.simhash import fingerprint, links
+from docaudit.llm.simhash import _settle, fingerprint, links
 from docaudit.llm.substring import Suffixes, _mix, _out, _runs
 
 SIZE, COMMON = 5, 4
@@ -46,6 +48,8 @@ FREQUENT, TOLD = 4, 200_000
 #: Sets, and candidate pairs for each set, beyond which a shingle is hot; rounds of hubs at most, and pairs of hot shingles
 #: that may be compared without further hubs.
 BOUND, PAIRS, HUB_ROUNDS, FEW = 100_000, 32, 4, 3e7
+#: Sets and shingles that a block of a class should hold at most; cells of a task's tables and elements it looks up at a time.
+BLOCK, MEMBERS, _CELLS = 2_000, 1_000_000, 1 << 22
 _ROWS = "s bigint, key bigint, n bigint, pos bigint"
 
 
@@ -219,6 +223,13 @@ def _cold_pairs(per_set: int):
     return run
 
 
+def _sets(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """key and members of the sets of texts(w_text)."""
+    texts = materialise(texts, "compared-texts")
+    found = docs.join(broadcast_within(texts, 500_000), F.xxhash64("text") == F.col("w_text"), "left_semi").select("text")
+    return materialise(found.mapInArrow(_members(size), "key bigint, members array<bigint>").dropDuplicates(["key"]), "compared-sets")
+
+
 def _linked(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The pairs of keys whose sets have similarity 4/5 or more."""
     wanted = broadcast_within(pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct(), 500_000)
@@ -229,9 +240,7 @@ def _linked(docs: DataFrame, marked: DataFrame, pairs: DataFrame, size: int) ->
     pairs = materialise(both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_possible, "a bigint, b bigint"), "possible-pairs")
     left = pairs.select(F.explode(F.array("a", "b")).alias("w_key")).distinct()
     texts = known.join(left, F.col("key") == F.col("w_key"), "left_semi").select(F.col("text_key").alias("w_text")).distinct()
-    texts = materialise(texts, "compared-texts")
-    found = docs.join(broadcast_within(texts, 500_000), F.xxhash64("text") == F.col("w_text"), "left_semi").select("text")
-    sets = materialise(found.mapInArrow(_members(size), "key bigint, members array<bigint>").dropDuplicates(["key"]), "compared-sets")
+    sets = _sets(docs, texts, size)
     one, two = (sets.select(F.col("key").alias(f"{x}_key"), F.col("members").alias(f"{x}_set")) for x in "ab")
     both = pairs.join(one, F.col("a") == F.col("a_key")).join(two, F.col("b") == F.col("b_key"))
     return both.where(9 * F.size(F.array_intersect("a_set", "b_set")) >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
@@ -245,7 +254,80 @@ def _between(rows: DataFrame, others: DataFrame) -> DataFrame:
     return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, *, size: int = SIZE, bound: int = BOUND, per_set: int = PAIRS, few: float = FEW) -> DataFrame:
+def _spanning(root: np.ndarray, first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets (members ids[first[i] : first[i + 1]], component root[i]), smallest first -> stars (member, centre) that join the
+    components which links between the sets bring together."""
+    n, wide = np.diff(first), int(ids.max()) + 1
+    _, head, back = np.unique(root, return_index=True, return_inverse=True)
+    labels = head[back]
+    # sets from i + 1 to reach[i] - 1 are not too large for i
+    reach = np.searchsorted(4 * n, 5 * n, "right")
+    at, step = 0, 8
+    while at < len(n):
+        last = min(len(n), at + step)
+        who = np.arange(at, last)
+        x = np.repeat(who, reach[at:last] - who - 1)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(reach[at:last] - who - 1) - reach[at:last], reach[at:last] - who - 1)
+        other = labels[x] != labels[y]
+        x, y = x[other], y[other]
+        if len(x):
+            has = np.zeros((last - at, wide), bool)
+            has[np.repeat(who - at, n[at:last]), ids[first[at] : first[last]]] = True
+            common, ends = np.zeros(len(x), np.int64), np.cumsum(n[y])
+            part = 0
+            while part < len(x):
+                end = max(part + 1, int(np.searchsorted(ends, (ends[part - 1] if part else 0) + _CELLS, "right")))
+                m = n[y[part:end]]
+                starts = np.cumsum(m) - m
+                hit = has[np.repeat(x[part:end] - at, m), ids[np.repeat(first[y[part:end]] - starts, m) + np.arange(m.sum())]]
+                common[part:end] = np.add.reduceat(hit, starts, dtype=np.int64)
+                part = end
+            linked = 9 * common >= 4 * (n[x] + n[y])
+            labels = _settle(labels, x[linked], y[linked])
+        at, step = last, max(1, min(2 * step, 64, 8 * _CELLS // wide, _CELLS // len(n)))
+    moved = head[labels[head] != head]
+    return moved, labels[moved]
+
+
+def _class_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, key, root, members) sorted by g -> stars (a, b) over the links of each g."""
+    for rows in _runs(batches):
+        rows = rows.combine_chunks()
+        g, key, root = (rows.column(i).to_numpy() for i in range(3))
+        members = rows.column(3).combine_chunks()
+        members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
+        offsets, values = members.offsets.to_numpy(), members.values.to_numpy()
+        found = []
+        cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high - low > 1 and (root[low:high] != root[low]).any():
+                n = np.diff(offsets[low : high + 1]).astype(np.int64)
+                order = np.argsort(n, kind="stable")
+                first = np.concatenate([[0], np.cumsum(n[order])])
+                take = np.repeat(offsets[low:high][order] - first[:-1], n[order]) + np.arange(first[-1])
+                a, b = _spanning(root[low:high][order], first, np.unique(values[take], return_inverse=True)[1])
+                found.append((key[low:high][order][a], key[low:high][order][b]))
+        if found:
+            yield from _out({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+
+
+def _within_classes(docs: DataFrame, marked: DataFrame, placed: DataFrame, size: int, block: int) -> DataFrame:
+    """Stars over the links between rows of placed (s, key, n, root) that share an s and are in different components."""
+    hubs = placed.groupBy("s").agg(F.min_by("key", F.xxhash64("key")).alias("hub"))
+    classes = materialise(placed.join(hubs, "s").select("hub", "key", "n", "root").distinct(), "classes")
+    sizes = classes.groupBy("hub").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.countDistinct("root").alias("roots")).where("roots > 1")
+    blocks = sizes.select("hub", F.ceil(F.greatest(F.col("sets") / block, F.col("shingles") / MEMBERS)).cast("bigint").alias("blocks"))
+    classes = classes.join(broadcast_within(blocks, 500_000), "hub")
+    wanted = broadcast_within(classes.select(F.col("key").alias("w_key")).distinct(), 500_000)
+    sets = _sets(docs, marked.join(wanted, F.col("key") == F.col("w_key")).groupBy("key").agg(F.min("text_key").alias("w_text")).select("w_text").distinct(), size)
+    own, other = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")), F.col("other")
+    dealt = classes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).where("blocks = 1 OR own <> other")
+    dealt = dealt.select(F.xxhash64("hub", F.least("own", other), F.greatest("own", other)).alias("g"), "key", "root")
+    rows = dealt.join(sets, "key").select("g", "key", "root", "members").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(_class_links, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, *, size: int = SIZE, bound: int = BOUND, per_set: int = PAIRS, few: float = FEW, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, group (a set's key) for each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_marked(size), "doc_id bigint, text_key bigint, key bigint, fp bigint, sketch binary"), "sets")
@@ -284,11 +366,11 @@ def near_copies(docs: DataFrame, *, size: int = SIZE, bound: int = BOUND, per_se
             left = largest.agg(F.sum((F.col("all") - F.col("most")).cast("double") * F.col("all"))).first()[0] or 0.0
             last = salt == HUB_ROUNDS or left <= few
             if last:
-                pairs = _between(placed.join(largest, "s").where("root <> main"), placed)
+                new = _within_classes(docs, marked, placed.join(largest.where(F.col("all") > F.col("most")).select("s"), "s"), size, block)
             else:
                 hub = placed.groupBy("s").agg(F.min_by(F.struct("key", "n", "pos", "root"), F.xxhash64("key", F.lit(salt))).alias("h")).select("s", "h.*")
-                pairs = _between(placed, hub)
-            new = materialise(_linked(docs, marked, materialise(pairs, "pairs"), size), "links")
+                new = _linked(docs, marked, materialise(_between(placed, hub), "pairs"), size)
+            new = materialise(new, "links")
             if new.limit(1).count():
                 edges = edges.unionByName(new)
                 roots = stars(edges)

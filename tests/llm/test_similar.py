@@ -113,3 +113,70 @@ def test_full_cell_gives_no_sketch():
     assert similar.sketches(np.zeros(0, np.int64), same[:0], np.zeros(0, np.int64)).to_pylist() == []
     rows = pa.RecordBatch.from_arrays([pa.array([1, 3]), pa.array([2, 4]), pa.array([None, b"\1"]), pa.array([b"\1", b"\7"])], names=["a", "b", "x", "y"])
     assert [x.to_pydict() for x in similar._possible(iter([rows]))] == [{"a": [1], "b": [2]}]
+
+
+def test_hot_groups_make_rows_in_proportion(spark, monkeypatch):
+    """Copies of one text, some linked only to it, some to nothing, all in hot shingles: pairs and links stay few."""
+    r, base = random.Random(7), [f"w{k}" for k in range(100)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 150):
+        words = list(base)
+        for k in r.sample(range(100), 2 if i % 3 else 7):
+            words[k] = f"x{i}_{k}"
+        docs.append((i, " ".join(words)))
+    want, made, write = brute_groups(docs), [], similar.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "materialise", counted)
+    groups = {}
+    for x in similar.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), bound=0, per_set=0).collect():
+        groups.setdefault(x["group"], set()).add(x["doc_id"])
+    assert {i: min(g) for g in groups.values() for i in g} == want
+    assert max(n for name, n in made if name in ("pairs", "possible-pairs", "links")) <= 10 * len(docs)
+
+
+def test_class_in_blocks(spark):
+    """A class dealt in pairs of blocks: the same groups."""
+    docs = made(4) + [(1000 + i, " ".join(f"w{k}" if (k * 7 + i) % 40 else f"p{i}" for k in range(80))) for i in range(40)]
+    groups = {}
+    for r in similar.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), bound=0, per_set=0, block=6).collect():
+        groups.setdefault(r["group"], set()).add(r["doc_id"])
+    assert {i: min(g) for g in groups.values() for i in g} == brute_groups(docs)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 50])
+def test_spanning_brute_force(monkeypatch, cells):
+    """Stars join what links between sets join, at the bound too, in one piece or in many."""
+    monkeypatch.setattr(similar, "_CELLS", cells)
+    r = random.Random(cells)
+    for _ in range(30):
+        base, sets = r.sample(range(60), r.randrange(8, 30)), []
+        for _ in range(r.randrange(2, 40)):
+            own = set(base)
+            for _ in range(r.randrange(0, 5)):
+                own.discard(r.choice(base))
+                own.add(r.randrange(60))
+            sets.append(own)
+        sets.sort(key=len)
+        root = np.array([r.randrange(100, 100 + len(sets)) for _ in sets])
+        first = np.cumsum([0] + [len(x) for x in sets])
+        a, b = similar._spanning(root, first, np.concatenate([sorted(x) for x in sets]))
+        least = {x: x for x in root.tolist()}
+
+        def find(x, least=least):
+            while least[x] != x:
+                x = least[x]
+            return x
+
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                    p, q = find(int(root[i])), find(int(root[j]))
+                    least[max(p, q)] = min(p, q)
+        want = len({find(int(x)) for x in root})
+        assert all(find(int(root[i])) == find(int(root[j])) for i, j in zip(a, b, strict=True))
+        assert len(set(root.tolist())) - len(a) == want
